@@ -1,0 +1,32 @@
+"""Tables in the shared folder that cut lineage between the steps of an operator.
+
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset, as in
+tests, a folder of our own is made and set on the context.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can see."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tilewright-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back, so that a lost executor costs no
+    more than the tasks that read the table.  ``by``: partition columns of the table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
