@@ -24,6 +24,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import Similarity, jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), Similarity(k=4, percent=85))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -60,7 +66,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_quality_rules, op6_curve_packing, op8_bpe_round_trip, op9_quality_knn, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_exact_dedup, op5_quality_rules, op6_curve_packing, op8_bpe_round_trip, op9_quality_knn, op10_html_extract)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
