@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import stage, without
 
 #: Bytes of content that a bucket's table may hold, and the spill files of one level.
 TABLE_BYTES = 64 << 20
@@ -134,13 +134,14 @@ GLOBAL = "of_uid long, keep_uid long, keep_id long, group_size long, digest bina
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a partition: a row for each distinct text, with it, and one without for each other record."""
-    uid = TaskContext.get().partitionId() << 33
+    at = TaskContext.get().partitionId() << 33
     table = GraceTable()
     for batch in batches:
-        for text, doc_id in zip(batch.column("text").cast(pa.large_binary()), batch.column("doc_id").cast(pa.int64()).to_pylist()):
+        ids = [batch.column(c).cast(pa.int64()).to_pylist() for c in ("row_id", "doc_id")]
+        for text, row_id, doc_id in zip(batch.column("text").cast(pa.large_binary()), *ids):
             raw = text.as_py()
-            table.add(raw, hashlib.sha256(raw).digest(), uid, NO_ID if doc_id is None else doc_id, 1)
-            uid += 1
+            table.add(raw, hashlib.sha256(raw).digest(), at if row_id is None else row_id, NO_ID if doc_id is None else doc_id, 1)
+            at += 1
     rows: list[tuple] = []
     size = 0
     for g in table.drain():
@@ -181,14 +182,27 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows), kinds)], list(names))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    local = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).mapInArrow(_local, LOCAL), "dedup")
+def _grouped(docs: DataFrame) -> DataFrame:
+    """docs (row_id, doc_id, text) -> uid (the row_id, else a number of our own), doc_id, keep_uid, keep_id, group_size, digest."""
+    local = stage(docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).mapInArrow(_local, LOCAL), "dedup")
     heads = local.filter("text is not null").select("uid", "doc_id", "count", "text", "digest")
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     kept = heads.repartition(parts, "digest").mapInArrow(_global, GLOBAL)
     members = local.select("uid", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("of_uid", "uid").alias("of_uid"))
-    return members.join(kept, "of_uid").select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    return members.join(kept, "of_uid")
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    grouped = _grouped(docs.select(F.lit(None).cast("long").alias("row_id"), "doc_id", "text"))
+    return grouped.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    name = "row_id"
+    while name in docs.columns:
+        name = f"_{name}"
+    numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    grouped = _grouped(numbered.select(F.col(name).alias("row_id"), "doc_id", "text"))
+    return without(numbered, name, grouped.filter("uid <> keep_uid").select("uid")).drop(name)

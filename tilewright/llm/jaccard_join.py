@@ -34,13 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stage
+from .scratch import BROADCAST_ROWS, stage, without
 from .textkit import shingles, words_by_chunk
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 15
-#: Up to so many candidates their ids are sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 LEAF = 8
 PIVOTS = 8
 
@@ -409,3 +407,9 @@ def jaccard_join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     labelled = stage(labelled, "labelled")
     lowest = labelled.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_similar(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
+    """The rows of ``docs`` but those that are linked to a smaller doc_id, with all their columns."""
+    linked = jaccard_join(docs, rule)
+    return without(docs, "doc_id", linked.filter("doc_id <> component_id").select("doc_id"))

@@ -148,3 +148,16 @@ def quality_knn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.value.scores(x) for x in _rows(batch.column("text"))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

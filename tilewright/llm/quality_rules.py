@@ -95,33 +95,40 @@ def ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -
     return F.split(F.lit(text), ",").cast("array<int>")  # folded to an array when the plan is made
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, score."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _scored(docs: DataFrame, ratio: Column, threshold: float) -> DataFrame:
+    """The rules' columns, behind ``row``, the whole row that they are about."""
+    text = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     shaped = text.select(
-        "doc_id", words_of(F.col("text")).alias("words"), F.length(F.regexp_replace("text", SPACES, "")).cast("bigint").alias("word_chars"),
+        "row", words_of(F.col("text")).alias("words"), F.length(F.regexp_replace("text", SPACES, "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), lines.alias("lines"),
     )
     hashed = shaped.select(
-        "doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), "word_chars", "n_symbols",
+        "row", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
     )
-    ratio = ratios(docs, labels, target_docs)
     scored = hashed.select(
-        "doc_id", F.size("h").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "row", F.size("h").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         _windows(F.col("h"), WINDOW).alias("windows"),
         F.aggregate(_buckets(F.col("h")), F.lit(0).cast("bigint"), lambda a, i: a + F.get(ratio, i)).alias("sum"),
     )
     scored = scored.select(*[c for c in scored.columns if c != "windows"], _recurring(F.col("windows")).alias("by_hash"))
     scored = scored.select(*[c for c in scored.columns if c != "by_hash"], _places(F.col("by_hash")).alias("places"))
     scored = scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("places"), WINDOW).alias("n_repeat_words"),
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("places"), WINDOW).alias("n_repeat_words"),
         F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("sum") / (1e6 * (2 * F.col("n_words") - 1))).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score",
-    )
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, score."""
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios(docs, labels, target_docs), threshold)
+    return scored.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _scored(docs, ratios(docs, labels, target_docs), threshold).filter("kept").select("row.*")

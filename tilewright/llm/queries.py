@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .warc_revisit import ORACLE as REVISIT_SQL
+
 
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file."""
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -48,6 +56,12 @@ def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_revisit import page_captures, resolve_revisits
+
+    return resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_round_trip
 
@@ -66,9 +80,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_exact_dedup, op5_quality_rules, op6_curve_packing, op8_bpe_round_trip, op9_quality_knn, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_jaccard_join, op4_exact_dedup, op5_quality_rules, op6_curve_packing, op7_warc_revisit, op8_bpe_round_trip, op9_quality_knn, op10_html_extract)}
 
 ORACLES: dict[str, str] = {
+    "op7_warc_revisit": REVISIT_SQL,
     "op4_exact_dedup": """
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as body from documents),

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,14 @@ def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
     schema = df.schema
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Up to so many keys are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the one column of ``dropped``; those with a null key stay."""
+    dropped = stage(dropped.toDF("dropped_key").distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(dropped) if few else dropped, F.col(key) == F.col("dropped_key"), "left_anti")
