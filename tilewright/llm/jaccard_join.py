@@ -5,13 +5,17 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a b
 1. A counting sketch of all shingles of all documents, of fixed size, gives an order in which rare ones come
    first.  A set's prefix in that order is as long as it must be for any two linked sets to share a shingle
    of it.  (Any order gives right results; a good one gives few candidates.)
-2. Prefix entries are range-sorted by (shingle, size, document).  Neighbours that share a shingle and whose
-   sizes allow a link are joined; what such joins connect makes a block.  Linked documents share a block.
-3. Blocks are range-sorted by (block, size, document), so that a large one is split over tasks.  Each task
+2. Longer prefixes must share more: with SHARE of a set's shingles added to its prefix, any linked set shares
+   about that many of them.  Prefix entries are range-sorted by shingle, and documents that have too few
+   shingles in common with others at all are out: they have no links.
+3. The other documents' entries are range-sorted by (shingle, size, document).  Neighbours that share a
+   shingle and whose sizes allow a link are joined; what such joins connect makes a block.  Linked documents
+   share a block.
+4. Blocks are range-sorted by (block, size, document), so that a large one is split over tasks.  Each task
    builds signature trees: nodes hold the OR of their sets' bitmaps and the range of sizes.  A dual
    traversal drops node pairs whose largest possible overlap is too small, and those that are linked
    already; sets at the leaves are compared exactly.
-4. A block split over tasks is finished by comparing a few documents of each of its parts, then by sending
+5. A block split over tasks is finished by comparing a few documents of each of its parts, then by sending
    those documents that aren't linked to its largest component to all its parts.
 
 Shingles are 64-bit hashes.  Within an input partition documents with the same set are kept once; the others
@@ -30,16 +34,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import BROADCAST_ROWS, stage, without
+from .scratch import BROADCAST_ROWS, only, stage, without
 from .textkit import shingles, words_by_chunk
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 15
 LEAF = 8
+#: One in so many shingles is added to a prefix, and must be shared.
+SHARE = 20
 PIVOTS = 8
 
 
@@ -51,7 +57,12 @@ class Similarity:
     percent: int = 80
 
     def prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
+        return min(n, n - -(-self.percent * n // 100) + 1 + n // SHARE)
+
+    def must_share(self, n: Column) -> Column:
+        """Prefix entries that a set of n has in common with any set that it is linked to; this one may be
+        smaller, down to percent of n, with fewer entries of its own."""
+        return 1 + F.floor(F.ceil(n * self.percent / 100) / SHARE)
 
     def sizes_allow(self, a, b):
         """For sizes a <= b."""
@@ -261,6 +272,41 @@ def _prefixes(docs: DataFrame, rule: Similarity) -> DataFrame:
     return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rep long, tokens array<long>"), "prefixes")
 
 
+def _entries(prefixes: DataFrame) -> DataFrame:
+    return prefixes.filter("tokens is not null").select("doc_id", "n", F.explode("tokens").alias("token"))
+
+
+def _sharing(prefixes: DataFrame, rule: Similarity) -> DataFrame:
+    """doc_id of the documents that share enough of their prefix with others to have a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an entry waits until the next one is known; the first and the last of a partition count as shared
+        token, doc, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = np.r_[token, batch.column("token").to_numpy()]
+            doc = np.r_[doc, batch.column("doc_id").to_numpy()]
+            shared = np.r_[shared, np.zeros(batch.num_rows, bool)]
+            shared[0] |= not begun
+            begun = True
+            same = token[1:] == token[:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            ids, c = np.unique(doc[:-1][shared[:-1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c, pa.int64())], ["doc_id", "c"])
+            token, doc, shared = token[-1:], doc[-1:], shared[-1:]
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array([1], pa.int64())], ["doc_id", "c"])
+
+    parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ("token", "doc_id")
+    counts = _entries(prefixes).select(*by).repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    sizes = prefixes.filter("tokens is not null").select("doc_id", "n")
+    return counts.join(sizes, "doc_id").filter(F.col("c") >= rule.must_share(F.col("n"))).select("doc_id")
+
+
 def _neighbours(prefixes: DataFrame, rule: Similarity) -> DataFrame:
     """Edges between documents that share a prefix shingle and whose sizes allow a link, as far as is needed
     to connect all such documents."""
@@ -283,7 +329,7 @@ def _neighbours(prefixes: DataFrame, rule: Similarity) -> DataFrame:
         if last is not None:
             yield _edges([(part, 1, *map(int, last))], ("part", "kind", "token", "a", "b"))
 
-    entries = prefixes.filter("tokens is not null").select("doc_id", "n", F.explode("tokens").alias("token"))
+    entries = _entries(only(prefixes, "doc_id", _sharing(prefixes, rule)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ("token", "n", "doc_id")
     found = stage(entries.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "part long, kind long, token long, a long, b long"), "neighbours")
@@ -349,7 +395,7 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
         part = TaskContext.get().partitionId()
         for block, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
             links = SignatureForest(_arrays(raw), rule).run()
-            yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, None) for i in ids], names)
+            yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, len(x) // 8) for i, x in zip(ids, raw)], names)
 
     by = ("block", "n", "doc_id")
     found = stage(sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(local, shape), "links")
@@ -358,12 +404,12 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     split = [r.block for r in found.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("block").collect()]
     if not split:
         return links
-    rows = found.filter("kind = 1").filter(F.col("block").isin(split)).select("block", "part", F.col("a").alias("doc_id")).distinct()
+    rows = found.filter("kind = 1").filter(F.col("block").isin(split)).select("block", "part", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct()
     own = sets.filter(F.col("block").isin(split)).select("block", "doc_id", "n", "tokens")
 
     def with_components(edges: DataFrame) -> DataFrame:
         labels = components(edges).select(F.col("node").alias("doc_id"), "component")
-        return rows.join(labels, "doc_id", "left").select("block", "part", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        return rows.join(labels, "doc_id", "left").select("block", "part", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
     def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
@@ -379,9 +425,12 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
 
     second = stage(with_components(links), "labelled")
     largest = second.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    places = second.groupBy("block").agg(F.collect_set("part").alias("places"))  # parts of a block
-    strays = second.alias("a").join(F.broadcast(largest).alias("b"), inside).filter("component <> largest").select("a.block", "part", "doc_id", "component")
-    visits = strays.join(F.broadcast(places), "block").select("block", F.explode("places").alias("at"), "part", "doc_id", "component").filter("at <> part").select("block", F.col("at").alias("part"), "doc_id", "component", F.lit(True).alias("visits"))
+    places = second.groupBy("block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    places = places.groupBy("block").agg(F.collect_list(F.struct("part", "low", "high")).alias("places"))  # parts of a block
+    strays = second.alias("a").join(F.broadcast(largest).alias("b"), inside).filter("component <> largest").select("a.block", "part", "doc_id", "n", "component")
+    sized = (rule.percent * F.col("n") <= 100 * F.col("at.high")) & (rule.percent * F.col("at.low") <= 100 * F.col("n"))
+    visits = strays.join(F.broadcast(places), "block").select("block", F.explode("places").alias("at"), "part", "doc_id", "n", "component").filter(sized & (F.col("at.part") != F.col("part")))
+    visits = visits.select("block", F.col("at.part").alias("part"), "doc_id", "component", F.lit(True).alias("visits"))
     visited = visits.select("block", "part").distinct()
     hosts = second.join(visited, ["block", "part"]).select("block", "part", "doc_id", "component", F.lit(False).alias("visits"))
 

@@ -39,6 +39,15 @@ BROADCAST_ROWS = 500_000
 
 def without(df: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in the one column of ``dropped``; those with a null key stay."""
-    dropped = stage(dropped.toDF("dropped_key").distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(dropped) if few else dropped, F.col(key) == F.col("dropped_key"), "left_anti")
+    return _by_key(df, key, dropped, "left_anti")
+
+
+def only(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the one column of ``kept``."""
+    return _by_key(df, key, kept, "left_semi")
+
+
+def _by_key(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    keys = stage(keys.toDF("matched_key").distinct(), "keys")
+    few = keys.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col("matched_key"), how)
