@@ -14,17 +14,20 @@ input; repeated rows are packed each.  Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer
+from .bpe import PATTERN
 from .scratch import stage
+from .token_counts import byte_alphabet
 
 LENGTH = 1024
 END_ID = 0
@@ -37,6 +40,21 @@ _axes = np.random.default_rng(11).standard_normal((HASHED, DIMENSIONS))
 _hashed = (np.arange(1 << 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
 
 
+_loaded: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(path: str) -> tiktoken.Encoding:
+    """The tokenizers file's byte-level BPE in a library that gives bare ids; a token's id is its rank."""
+    if path not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        to_byte = byte_alphabet()
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        _loaded[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _loaded[path]
+
+
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of integer cells (rows of coordinates below 2 ** bits)."""
     x = [c.astype(np.int64) for c in cells.T]
@@ -91,13 +109,13 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(tokenizer_path)
-        small = np.dtype("<u2") if len(bpe.offset) <= 1 << 16 else np.dtype("<u4")
+        bpe = encoding(tokenizer_path)
+        small = np.dtype("<u2") if bpe.n_vocab <= 1 << 16 else np.dtype("<u4")
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw, counts, where = [], [], []
             for text in batch.column("text"):
-                ids = np.frombuffer(bpe.encode(text.as_py()) + END_ID.to_bytes(4, "little"), dtype="<u4")
+                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END_ID))
                 counts.append(len(ids))
                 raw.append(ids.astype(small).tobytes())
                 shares = np.sqrt(np.bincount(_hashed[ids], minlength=HASHED) / len(ids))
