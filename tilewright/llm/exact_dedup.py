@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage, without
+from .scratch import fresh, stage, without
 
 #: Bytes of content that a bucket's table may hold, and the spill files of one level.
 TABLE_BYTES = 64 << 20
@@ -200,9 +200,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    name = "row_id"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = fresh("row_id", docs)
     numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     grouped = _grouped(numbered.select(F.col(name).alias("row_id"), "doc_id", "text"))
     return without(numbered, name, grouped.filter("uid <> keep_uid").select("uid")).drop(name)

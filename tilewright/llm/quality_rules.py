@@ -131,4 +131,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return _scored(docs, ratios(docs, labels, target_docs), threshold).filter("kept").select("row.*")
+    scored = _scored(docs, ratios(docs, labels, target_docs), threshold)
+    # a condition on a column that isn't deterministic stays above the projection that makes it; pushed below,
+    # every expression in it would be written out again wherever it is used, inside lambdas even
+    numbered = scored.select("row", "kept", F.monotonically_increasing_id().alias("place"))
+    return numbered.filter("kept and place >= 0").select("row.*")

@@ -47,7 +47,16 @@ def only(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     return _by_key(df, key, kept, "left_semi")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _by_key(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
-    keys = stage(keys.toDF("matched_key").distinct(), "keys")
+    name = fresh("matched_key", df)
+    keys = stage(keys.toDF(name).distinct(), "keys")
     few = keys.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col("matched_key"), how)
+    return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col(name), how)
