@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .scratch import lean
 from .token_counts import byte_alphabet
 
 # Fixed value: the pre-token pattern of byte-level BPE.
@@ -262,4 +263,4 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
                 flush()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return lean(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

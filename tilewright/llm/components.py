@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import join_skewed, stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select("a", "b").union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b"))).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+        large = join_skewed(both, low, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small_low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = join_skewed(large, small_low, "a", 2 * state[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b"))).distinct()
         now = stage(small, "edges")
         before, state = state, _state(now)
         if before == state:

@@ -29,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh, stage, without
+from .scratch import fresh, lean, stage, without
+from .textkit import tidy
 
 #: Bytes of content that a bucket's table may hold, and the spill files of one level.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 FAN_OUT = 16
 NO_ID = np.iinfo(np.int64).max
 
@@ -184,10 +185,10 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """docs (row_id, doc_id, text) -> uid (the row_id, else a number of our own), doc_id, keep_uid, keep_id, group_size, digest."""
-    local = stage(docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).mapInArrow(_local, LOCAL), "dedup")
+    local = stage(lean(docs).select("row_id", F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).mapInArrow(tidy(_local), LOCAL), "dedup")
     heads = local.filter("text is not null").select("uid", "doc_id", "count", "text", "digest")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    kept = heads.repartition(parts, "digest").mapInArrow(_global, GLOBAL)
+    kept = heads.repartition(parts, "digest").mapInArrow(tidy(_global), GLOBAL)
     members = local.select("uid", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("of_uid", "uid").alias("of_uid"))
     return members.join(kept, "of_uid")
 

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import lean
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 BLOCK = frozenset(
@@ -256,4 +258,4 @@ def html_extract(pages: DataFrame) -> DataFrame:
             texts = [extract(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return lean(pages).select("page_id", "url", "html").mapInArrow(run, SCHEMA)

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import BROADCAST_ROWS, only, stage, without
-from .textkit import shingles, words_by_chunk
+from .scratch import BROADCAST_ROWS, join_skewed, lean, only, stage, without
+from .textkit import shingles, tidy, words_by_chunk
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 15
@@ -231,7 +231,7 @@ def shingle_sketch(docs: DataFrame, rule: Similarity) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())], ["block", "cells"])
 
     blocks = (1 << SKETCH_BITS) // SKETCH_BLOCK
-    summed = docs.select("text").mapInArrow(count, "block long, cells binary").repartition(blocks, "block").mapInArrow(add, "block long, cells binary")
+    summed = docs.select("text").mapInArrow(tidy(count), "block long, cells binary").repartition(blocks, "block").mapInArrow(add, "block long, cells binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for b, raw in summed.collect():  # blocks rows
         out[b : b + SKETCH_BLOCK] = np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
@@ -269,7 +269,7 @@ def _prefixes(docs: DataFrame, rule: Similarity) -> DataFrame:
                 tokens.append(s[_order_key(s, sketch.value)[: rule.prefix(len(s))]].view(np.int64) if first == own else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(rep, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "rep", "tokens"])
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rep long, tokens array<long>"), "prefixes")
+    return stage(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, rep long, tokens array<long>"), "prefixes")
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _sharing(prefixes: DataFrame, rule: Similarity) -> DataFrame:
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ("token", "doc_id")
-    counts = _entries(prefixes).select(*by).repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    counts = _entries(prefixes).select(*by).repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(run), "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
     sizes = prefixes.filter("tokens is not null").select("doc_id", "n")
     return counts.join(sizes, "doc_id").filter(F.col("c") >= rule.must_share(F.col("n"))).select("doc_id")
 
@@ -332,7 +332,7 @@ def _neighbours(prefixes: DataFrame, rule: Similarity) -> DataFrame:
     entries = _entries(only(prefixes, "doc_id", _sharing(prefixes, rule)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ("token", "n", "doc_id")
-    found = stage(entries.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "part long, kind long, token long, a long, b long"), "neighbours")
+    found = stage(entries.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(run), "part long, kind long, token long, a long, b long"), "neighbours")
     # first and last entries of the range partitions: two for each
     edge, across = None, []
     for r in found.filter("kind < 2").orderBy("part", "kind").collect():
@@ -357,7 +357,7 @@ def _candidate_sets(docs: DataFrame, blocks: DataFrame, rule: Similarity) -> Dat
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("wanted"))
-    return stage(texts.select("block", "doc_id", "text").mapInArrow(run, "block long, doc_id long, n long, tokens binary"), "sets")
+    return stage(texts.select("block", "doc_id", "text").mapInArrow(tidy(run), "block long, doc_id long, n long, tokens binary"), "sets")
 
 
 def _arrays(raw: list[bytes]) -> list[np.ndarray]:
@@ -398,7 +398,7 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
             yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, len(x) // 8) for i, x in zip(ids, raw)], names)
 
     by = ("block", "n", "doc_id")
-    found = stage(sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(local, shape), "links")
+    found = stage(sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(local), shape), "links")
     links = found.filter("kind = 0").select("a", "b")
     # blocks that lie in several parts: fewer than there are parts
     split = [r.block for r in found.groupBy("block").agg(F.count_distinct("part").alias("n")).filter("n > 1").select("block").collect()]
@@ -420,7 +420,7 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     heads = first.groupBy("block", "part", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
     heads = heads.groupBy("block", "part").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "doc_id")), asc=False), 1, PIVOTS).alias("top"))  # rows of one part
     heads = heads.select("block", F.explode("top.doc_id").alias("doc_id"))
-    tried = own.join(heads, ["block", "doc_id"]).select("block", "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(pivots, "a long, b long")
+    tried = own.join(heads, ["block", "doc_id"]).select("block", "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(tidy(pivots), "a long, b long")
     links = stage(links.union(tried), "links")
 
     second = stage(with_components(links), "labelled")
@@ -441,21 +441,23 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
             yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(_arrays(raw), rule, known, side).run()], ("a", "b"))
 
     meeting = hosts.union(visits).join(own, ["block", "doc_id"]).withColumn("place", F.xxhash64("block", "part"))
-    met = meeting.select("place", "n", "doc_id", "tokens", "component", "visits").repartition(parts, "place").sortWithinPartitions("place", "n", "doc_id").mapInArrow(meet, "a long, b long")
+    met = meeting.select("place", "n", "doc_id", "tokens", "component", "visits").repartition(parts, "place").sortWithinPartitions("place", "n", "doc_id").mapInArrow(tidy(meet), "a long, b long")
     return links.union(met)
 
 
 def jaccard_join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prefixes = _prefixes(docs, rule)
     blocks = components(_neighbours(prefixes, rule))
     sets = _candidate_sets(docs, blocks, rule)
     linked = components(_links(sets, rule))
-    labelled = prefixes.select("doc_id", "n", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
+    labelled = prefixes.select("doc_id", "n", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("label"))
     labelled = stage(labelled, "labelled")
-    lowest = labelled.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(lowest, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
+    found = join_skewed(labelled.filter("label is not null"), lowest, "label", labelled.count())
+    lone = labelled.filter("label is null").withColumn("component_id", F.lit(None).cast("long"))
+    return found.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_similar(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:

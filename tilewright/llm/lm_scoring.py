@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
 from .textkit import Words, mix, words_by_chunk
 
 VOCABULARY = 480
@@ -117,7 +118,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 word, c = pa.array(word.view(np.int64)), pa.array(c, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([word, pa.nulls(1, pa.int64())]), pa.concat_arrays([c, pa.array([len(words.start)], pa.int64())])], ["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return lean(docs).select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fit(docs: DataFrame) -> WindowNetwork:
@@ -185,4 +186,4 @@ def lm_scores(docs: DataFrame, model: WindowNetwork | None = None) -> DataFrame:
             mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return lean(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

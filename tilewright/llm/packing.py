@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN
-from .scratch import stage
+from .scratch import lean, stage
+from .textkit import tidy
 from .token_counts import byte_alphabet
 
 LENGTH = 1024
@@ -55,6 +56,11 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the worker's encodings: they are large, and made again within a second."""
+    _loaded.clear()
+
+
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of integer cells (rows of coordinates below 2 ** bits)."""
     x = [c.astype(np.int64) for c in cells.T]
@@ -129,7 +135,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
             uid += n
 
     axes = [f"x{i}" for i in range(DIMENSIONS)]
-    encoded = stage(docs.select("doc_id", "text").mapInArrow(encode, f"uid long, doc_id long, n long, ids binary, {', '.join(f'{a} double' for a in axes)}"), "packed")
+    encoded = stage(lean(docs).select("doc_id", "text").mapInArrow(tidy(encode, forget), f"uid long, doc_id long, n long, ids binary, {', '.join(f'{a} double' for a in axes)}"), "packed")
     spread = encoded.agg(*[F.coalesce(f(a), F.lit(0.0)) for a in axes for f in (F.avg, F.stddev_pop)]).first()
     mean, deviation = np.array(spread[0::2]), np.maximum(np.array(spread[1::2]), 1e-12)
 
@@ -147,10 +153,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(np.full(len(n), part)), pa.array(ends - n), batch.column("n")], ["uid", "part", "begin", "n"])
             at = int(ends[-1]) if len(n) else at
 
-    order = encoded.select("uid", "doc_id", "n", *axes).mapInArrow(keyed, "uid long, doc_id long, n long, key long")
+    order = encoded.select("uid", "doc_id", "n", *axes).mapInArrow(tidy(keyed), "uid long, doc_id long, n long, key long")
     by = [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("uid")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    line = stage(order.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(running, "uid long, part long, begin long, n long"), "line")
+    line = stage(order.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(running), "uid long, part long, begin long, n long"), "line")
     base, total = {}, 0
     for part, n in line.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row for each range partition
         base[part], total = total, total + n
@@ -166,4 +172,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = encoded.select("uid", "doc_id", "n", "ids").join(line.select("uid", "part", "begin"), "uid")
-    return placed.select("doc_id", "n", "ids", "part", "begin").mapInArrow(cut, SCHEMA)
+    return placed.select("doc_id", "n", "ids", "part", "begin").mapInArrow(tidy(cut), SCHEMA)

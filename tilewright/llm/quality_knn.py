@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, mix, words_by_chunk
+from .scratch import lean
+from .textkit import Words, buffers, mix, tidy, words_by_chunk
 
 #: Labelled rows that the latent space is fit on at most.
 SAMPLE = 4000
@@ -67,7 +68,6 @@ def _rows(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _chunks(texts: pa.Array):
-    from .textkit import buffers
 
     _, bounds = buffers(texts)
     for a, b, words in words_by_chunk(texts):
@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentVoter
         .orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     )
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # sample ids at most
-        .select("doc_id", "text", "label").mapInArrow(_vectors, "doc_id long, label int, x binary")
+        lean(docs).select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # sample ids at most
+        .select("doc_id", "text", "label").mapInArrow(tidy(_vectors), "doc_id long, label int, x binary")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
     )
     x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32)
@@ -145,7 +145,7 @@ def quality_knn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
             scores = [model.value.scores(x) for x in _rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
@@ -160,4 +160,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: flo
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Size of an Arrow batch that goes to a Python worker, where the session doesn't say; documents can be long.
+#: By setting: Spark's default, and what is set instead.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with its session sending small Arrow batches unless it was told a size."""
+    conf = df.sparkSession.conf
+    for name, (default, small) in BATCH.items():
+        if conf.get(name) == default:
+            conf.set(name, small)
+    return df
+
+
 def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so that a lost executor costs no
     more than the tasks that read the table.  ``by``: partition columns of the table."""
@@ -60,3 +74,18 @@ def _by_key(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
     keys = stage(keys.toDF(name).distinct(), "keys")
     few = keys.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col(name), how)
+
+
+#: A key is hot if it has more than HOT rows and more than one in HOT_SHARE of all rows.
+HOT, HOT_SHARE = 1000, 500
+
+
+def join_skewed(df: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` joined to ``keyed``, which has one row for each key and counts in ``c`` the key's rows in ``df``,
+    of at most ``rows`` in all.  Hot keys, at most HOT_SHARE of them, are broadcast, so that no task gets all
+    rows of one; the others are joined by a shuffle."""
+    least = max(HOT, rows // HOT_SHARE)
+    if rows <= least:  # no key can be hot
+        return df.join(keyed.drop("c"), key)
+    hot = F.broadcast(keyed.filter(F.col("c") > least).drop("c"))
+    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col("c") <= least).drop("c"), key))

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import lean
+
 UNCOVERED = -1
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
@@ -144,4 +146,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return lean(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
