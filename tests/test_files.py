@@ -69,3 +69,50 @@ def test_outer_ring(spark):
     rows = spark.createDataFrame([(1, "Polygon", geometry), (2, "LineString", geometry)], "id long, kind string, geometry array<array<array<double>>>")
     got = {r.id: r.n for r in rows.select("id", F.size(files.outer_ring("kind")).alias("n")).collect()}
     assert got == {1: 2, 2: None}
+
+
+def test_png_round_trip(spark):
+    import numpy as np
+
+    from tilewright.operators import raster
+    from tilewright.sources import images
+
+    rng = np.random.default_rng(0)
+    for dtype, top in ((np.uint8, 256), (np.uint16, 65536)):
+        image = rng.integers(0, top, (256, 256)).astype(dtype)
+        assert (images.decode_png(images.encode_png(image))[:, :, 0] == image).all()
+    cells = spark.createDataFrame([(3, 4, 0, 1, 500), (3, 4, 255, 255, 65535)], "tn long, tw long, cn long, cw long, value long")
+    back = images.pixels(images.png_tiles(raster.dense(cells)), "tn", "tw").collect()
+    assert sorted((r.tn, r.tw, r.r, r.c, r.value) for r in back) == [(3, 4, 0, 1, 500), (3, 4, 255, 255, 65535)]
+
+
+def test_catalogue(spark):
+    from tilewright.sources import catalog
+
+    rows = [("continent", "C", None, "c", 0, 0, 9, 9), ("region", "R", "C", "r", 0, 0, 4, 4), ("region", "Q", "X", "q", 0, 0, 4, 4), ("city", "T", "R", "t", 8, 8, 9, 9)]
+    m = spark.createDataFrame(rows, "level string, name string, parent string, path string, xmin long, ymin long, xmax long, ymax long")
+    assert [r.name for r in catalog.suggest(m, (1, 1, 2, 2), "region").collect()] == ["R"]
+    assert sorted(r.name for r in catalog.finest(m, (1, 1, 2, 2)).collect()) == ["Q", "R"] and [r.name for r in catalog.finest(m, (8, 8, 8, 8)).collect()] == ["T"]
+    pages = spark.createDataFrame([('<table><tr><td class="x"><a href="http://a/b">Place One</a></td><td>no</td></tr></table>',)], "value string")
+    assert [(r.place, r.url) for r in catalog.page_links(pages).collect()] == [("Place One", "http://a/b")]
+    assert [r.path for r in catalog.stale(m, m.filter("name <> 'T'"), ["R"]).orderBy("path").collect()] == ["r", "t"]
+
+
+def test_building_sources_and_conflation(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.plans import lifecycle
+    from tilewright.plans.views import view
+    from tilewright.sources import buildings
+
+    elements = spark.createDataFrame(
+        [("way", 1, 0, 0, 20, 20, None, {"building": "yes", "building:levels": "3;4", "addr:housenumber": "5", "addr:street": "S"}), ("way", 2, 0, 0, 2, 2, None, {"building": "yes", "bridge": "yes"}), ("relation", 3, 0, 0, 2, 2, None, {"type": "building"}), ("way", 4, 0, 0, 2, 2, None, {"building": "yes", "location": "underground"})],
+        "type string, id long, xmin long, ymin long, xmax long, ymax long, timestamp string, tags map<string,string>",
+    )
+    osm = buildings.MapEntries.standardize(buildings.MapEntries.wanted(elements))
+    got = {r.id: (r.floors, r.address, r.cx) for r in osm.collect()}
+    assert got == {"w1": (3.0, "5 S", 10.0), "r3": (None, None, 1.0)}
+    rows = view(spark, "/root/testdata/sf0.001", "bld").filter("id < 400")
+    both = lifecycle.conflate(*[rows.filter(F.col("name") == n) for n in ("osm", "msbf", "ocm")])
+    rates = {r.name: r.rate for r in both.match_rate().collect()}
+    assert set(rates) == {"osm", "msbf", "ocm"} and all(0 < v <= 1 for v in rates.values())

@@ -627,3 +627,30 @@ def csv_error_skip(spark, sf_dir):
 
     lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 13 == 0, F.lit("Error: no camera")).otherwise(F.concat_ws(",", F.col("event_id").cast("string"), ((F.col("event_id") * 37) % 360).cast("string"))).alias("value"))
     return parse_lines(lines, "poid long, heading double").filter("heading is not null")
+
+
+@query('select tn, tw, cn r, cw c, v as "value" from raster where v>0', "bld", **RASTERED)
+def image_scan(spark, sf_dir):
+    """The raster through 16-bit images and back."""
+    from tilewright.sources import images
+
+    return images.pixels(images.png_tiles(raster.dense(rastered(spark, sf_dir))), "tn", "tw")
+
+
+@query("select n_nationkey as id, cast(1 as bigint) rings, cast(3 as bigint) points, cast(n_nationkey+2 as double) xmax from nation")
+def poly_parse(spark, sf_dir):
+    """Boundary files' text."""
+    k = F.col("n_nationkey").cast("string")
+    body = F.concat(F.lit("place\n1\n   "), k, F.lit(".0   1.0\n   "), (F.col("n_nationkey") + 2).cast("string"), F.lit(".0   1.0\n   "), k, F.lit(".0   3.0E0\nEND\nEND\n"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.poly_points(body).alias("r"))
+    return rows.select("id", F.size("r").cast("long").alias("rings"), F.size(F.flatten("r")).cast("long").alias("points"), F.array_max(F.transform(F.flatten("r"), lambda p: p["x"])).alias("xmax"))
+
+
+@query()
+def conflate(spark, sf_dir):
+    """All of it: footprints of the united sources, identities, groups, aggregates, match rates."""
+    from .lifecycle import conflate as conflated
+
+    rows = view(spark, sf_dir, "bld")
+    both = conflated(*[rows.filter(F.col("name") == n) for n in ("osm", "msbf", "ocm")])
+    return both.match_rate().select("name", "n", "matched", F.round("rate", 9).alias("rate"))
