@@ -6,6 +6,10 @@ combine before the shuffle.  A box that spans very many cells is cut into rows f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +46,19 @@ def elevation(rows: DataFrame, cell: int, max_height: Column | float, wrap: bool
 
 
 def dense(cells: DataFrame) -> DataFrame:
-    """(tn, tw, image): one array of CELLS * CELLS values for each tile, row by row."""
-    filled = cells.groupBy("tn", "tw").agg(F.map_from_entries(F.collect_list(F.struct((F.col("cn") * CELLS + F.col("cw")).cast("int"), "value"))).alias("m"))
-    return filled.select("tn", "tw", F.transform(F.sequence(F.lit(0), F.lit(CELLS * CELLS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0))).alias("image"))
+    """(tn, tw, image): one array of CELLS * CELLS values for each tile, row by row; absent cells are 0."""
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, values = batch.column("at"), batch.column("v")
+            for i in range(batch.num_rows):
+                image = np.zeros(CELLS * CELLS, dtype=np.int64)
+                image[places[i].values.to_numpy()] = values[i].values.to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("tn").slice(i, 1), batch.column("tw").slice(i, 1), pa.array([image], pa.list_(pa.int64()))], ["tn", "tw", "image"])
+
+    # at most CELLS * CELLS entries to a tile
+    held = cells.groupBy(F.col("tn").cast("long").alias("tn"), F.col("tw").cast("long").alias("tw")).agg(F.collect_list(F.struct((F.col("cn") * CELLS + F.col("cw")).cast("long").alias("at"), F.col("value").cast("long").alias("v"))).alias("e"))
+    return held.select("tn", "tw", "e.at", "e.v").mapInArrow(scatter, "tn long, tw long, image array<long>")
 
 
 def hag_value(hag: Column, max_height: float) -> Column:
