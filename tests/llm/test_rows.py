@@ -332,9 +332,11 @@ def test_signature_forest_equals_brute_force():
     assert [forest.joined.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
 
 
-def test_components_with_hot_nodes(spark):
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from tilewright.llm import scratch
     from tilewright.llm.components import components
 
+    monkeypatch.setattr(scratch, "FEW", 100)
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)] + [(2999, 4000), (None, 3), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(3000)}, 4000: 0, **{5000 + i: 5000 for i in range(31)}}
