@@ -76,16 +76,16 @@ def _by_key(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col(name), how)
 
 
-#: A key is hot if it has more than HOT rows and more than one in HOT_SHARE of all rows.
-HOT, HOT_SHARE = 1000, 500
+#: A key is hot if it has more than one in HOT_SHARE of all rows; one task can take FEW rows, whatever their keys.
+HOT_SHARE, FEW = 500, 200_000
 
 
 def join_skewed(df: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
     """``df`` joined to ``keyed``, which has one row for each key and counts in ``c`` the key's rows in ``df``,
     of at most ``rows`` in all.  Hot keys, at most HOT_SHARE of them, are broadcast, so that no task gets all
     rows of one; the others are joined by a shuffle."""
-    least = max(HOT, rows // HOT_SHARE)
-    if rows <= least:  # no key can be hot
+    if rows <= FEW:
         return df.join(keyed.drop("c"), key)
+    least = rows // HOT_SHARE
     hot = F.broadcast(keyed.filter(F.col("c") > least).drop("c"))
     return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col("c") <= least).drop("c"), key))
