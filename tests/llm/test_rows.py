@@ -333,8 +333,8 @@ def test_signature_forest_equals_brute_force():
 
 
 def test_components_with_hot_nodes(spark, monkeypatch):
-    from tilewright.llm import scratch
-    from tilewright.llm.components import components
+    from tilewright.sources import scratch
+    from tilewright.operators.components import components
 
     monkeypatch.setattr(scratch, "FEW", 100)
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)] + [(2999, 4000), (None, 3), (7, 7)]

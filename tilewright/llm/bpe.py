@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .scratch import lean
+from tilewright.sources.scratch import lean
 from .token_counts import byte_alphabet
 
 # Fixed value: the pre-token pattern of byte-level BPE.

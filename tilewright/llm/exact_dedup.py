@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh, lean, stage, without
+from tilewright.sources.scratch import fresh, lean, stage, without
 from .textkit import tidy
 
 #: Bytes of content that a bucket's table may hold, and the spill files of one level.

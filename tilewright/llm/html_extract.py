@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import lean
+from tilewright.sources.scratch import lean
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 

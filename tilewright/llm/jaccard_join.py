@@ -37,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .scratch import BROADCAST_ROWS, join_skewed, lean, only, stage, without
+from tilewright.operators.components import components
+from tilewright.sources.scratch import BROADCAST_ROWS, join_skewed, lean, only, stage, without
 from .textkit import shingles, tidy, words_by_chunk
 
 SKETCH_BITS = 20

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import lean
+from tilewright.sources.scratch import lean
 from .textkit import Words, mix, words_by_chunk
 
 VOCABULARY = 480

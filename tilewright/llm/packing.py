@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN
-from .scratch import lean, stage
+from tilewright.sources.scratch import lean, stage
 from .textkit import tidy
 from .token_counts import byte_alphabet
 

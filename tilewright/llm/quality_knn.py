@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import lean
+from tilewright.sources.scratch import lean
 from .textkit import Words, buffers, mix, tidy, words_by_chunk
 
 #: Labelled rows that the latent space is fit on at most.

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import lean
+from tilewright.sources.scratch import lean
 
 UNCOVERED = -1
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
