@@ -171,5 +171,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
                     rows.append((doc_id, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, seq, offset))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    placed = encoded.select("uid", "doc_id", "n", "ids").join(line.select("uid", "part", "begin"), "uid")
+    # the same plan at every size: the line has a row for each document
+    placed = encoded.select("uid", "doc_id", "n", "ids").join(line.select("uid", "part", "begin").hint("merge"), "uid")
     return placed.select("doc_id", "n", "ids", "part", "begin").mapInArrow(tidy(cut), SCHEMA)
