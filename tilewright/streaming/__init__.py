@@ -1,0 +1 @@
+"""Empty: the reference has no streaming operators."""
