@@ -340,3 +340,14 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)] + [(2999, 4000), (None, 3), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(3000)}, 4000: 0, **{5000 + i: 5000 for i in range(31)}}
+
+
+def test_lm_trains_on_every_word(spark):
+    rng = random.Random(2)
+    texts = [f"{a} mid{a} {a}" for a in rng.choices("abcdef", k=20_000)]  # short ones only
+    model = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2))
+    assert model.targets == 3 * len(texts)
+    pairs = [(a, b) for a in "abcdef" for b in "abcdef"]
+    rows = [(i, f"{a} mid{b} {a}") for i, (a, b) in enumerate(pairs)]
+    got = {pairs[r.doc_id]: r.log_likelihood for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[a, a] > got[a, b] + 2 for a, b in pairs if a != b)

@@ -4,8 +4,8 @@ The vocabulary is the most frequent words of all documents plus a few cells that
 hash.  Each word is predicted from the REACH words on either side of it; the word itself is masked.  The
 network sums an embedding for each place of the window, takes tanh and a softmax over the whole vocabulary.
 
-Training follows the corpus: every task trains the common start on one in SAMPLE_EVERY of its words, and the
-weights are averaged in proportion to the words each has seen.  A document's score is the sum of the
+Training follows the corpus: every task trains the common start in one pass over all of its words, each of
+which is a target once, and the weights are averaged in proportion to the words each has seen.  A document's score is the sum of the
 conditional log-probabilities of all its words.
 
 Null and empty texts have no words, a score of 0 and a null mean.  Rows are independent: repeated rows
@@ -23,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.sources.scratch import lean
-from .textkit import Words, mix, words_by_chunk
+from .textkit import Words, words_by_chunk
 
 VOCABULARY = 480
 RARE_CELLS = 32
 SIZE = VOCABULARY + RARE_CELLS
 REACH = 2
 HIDDEN = 16
-SAMPLE_EVERY = 50
-MINIBATCH = 256
+MINIBATCH = 2048
 RATE = 0.1
 PARAMETER_BLOCK = 8192
 SALTS = 32
@@ -43,6 +42,7 @@ class WindowNetwork:
 
     def __init__(self, words: np.ndarray, parameters: np.ndarray):
         self.words, self.parameters = words, parameters  # words: sorted hashes
+        self.targets = 0  # words that it was trained to predict
         a = 2 * REACH * (SIZE + 1) * HIDDEN
         b = a + HIDDEN * SIZE
         self.embed = parameters[:a].reshape(2 * REACH, SIZE + 1, HIDDEN)
@@ -89,23 +89,28 @@ class WindowNetwork:
             out[a : a + 4096] = own - np.log(logits.sum(axis=1, dtype=np.float64))
         return out
 
-    def train(self, line: np.ndarray, at: np.ndarray, sums: np.ndarray) -> None:
-        """One pass of Adagrad over the words at these places; ``sums``: squared gradients so far."""
+    def train(self, line: np.ndarray, at: np.ndarray, sums: np.ndarray) -> int:
+        """One pass of Adagrad over the words at these places; ``sums``: squared gradients so far.  Returns
+        how many words were targets."""
         for a in range(0, len(at), MINIBATCH):
             part = at[a : a + MINIBATCH]
             h = self.hidden(line, part)
-            p = np.exp(h @ self.out + self.bias)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), line[part]] -= 1
-            p /= len(part)
+            p = h @ self.out
+            p += self.bias
+            np.exp(p, out=p)
+            p *= 1 / (len(part) * p.sum(axis=1, keepdims=True))
+            p[np.arange(len(part)), line[part]] -= 1 / len(part)
             grad = WindowNetwork(self.words, np.zeros_like(self.parameters))
             grad.out[:] = h.T @ p
             grad.bias[:] = p.sum(axis=0)
             below = (p @ self.out.T) * (1 - h * h)
             for k, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-                np.add.at(grad.embed[k], line[part + step], below)
+                near = line[part + step]
+                for j in range(HIDDEN):
+                    grad.embed[k, :, j] = np.bincount(near, below[:, j], SIZE + 1)
             sums += grad.parameters**2
             self.parameters -= RATE * grad.parameters / (np.sqrt(sums) + 1e-6)
+        return len(at)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -140,9 +145,7 @@ def fit(docs: DataFrame) -> WindowNetwork:
         for batch in batches:
             for a, _, words in words_by_chunk(batch.column("text")):
                 line, at = net.padded(words)
-                picked = at[mix(np.arange(len(at), dtype=np.uint64) + np.uint64(seen + 1)) % np.uint64(SAMPLE_EVERY) == 0]
-                net.train(line, picked, sums)
-                seen += len(at)
+                seen += net.train(line, at, sums)
         if seen:
             for b in range(0, len(net.parameters), PARAMETER_BLOCK):
                 total = net.parameters[b : b + PARAMETER_BLOCK].astype(np.float64) * seen
@@ -161,10 +164,13 @@ def fit(docs: DataFrame) -> WindowNetwork:
     shape = "block long, salt long, seen long, total binary"
     blocks = -(-len(start.parameters) // PARAMETER_BLOCK)
     trained = docs.select("text").mapInArrow(train, shape).repartition(blocks, "block", "salt").mapInArrow(add, shape).repartition(blocks, "block").mapInArrow(add, shape)
-    parameters = start.parameters.copy()
+    parameters, targets = start.parameters.copy(), 0
     for r in trained.collect():  # one row for each block of parameters
         parameters[r.block : r.block + PARAMETER_BLOCK] = np.frombuffer(r.total) / r.seen
-    return WindowNetwork(start.words, parameters)
+        targets = r.seen
+    model = WindowNetwork(start.words, parameters)
+    model.targets = targets
+    return model
 
 
 def lm_scores(docs: DataFrame, model: WindowNetwork | None = None) -> DataFrame:
