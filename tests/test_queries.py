@@ -18,3 +18,25 @@ def test_query_matches_sql(spark, con, name):
     else:
         frame = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert frame.columns and frame.count() > 0
+
+
+def test_components_of_all_relations(spark):
+    data = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    relations = {}
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        a, b = sorted((find(r.l_partkey), find(relations.setdefault(r.l_orderkey, r.l_partkey))))
+        root[b] = a  # the smaller one leads
+    got = {r.node: r.component for r in QUERIES["group_components_whole"](spark, data).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_all_relations_are_grouped(spark):
+    data = "/root/testdata/sf0.001"
+    assert QUERIES["relation_groups_whole"](spark, data).filter("component % 400 <> 0").count() > 0

@@ -347,27 +347,51 @@ def footprint_assign(spark, sf_dir):
 
 
 EDGES = "select distinct cast(l_orderkey as bigint) rel, cast(l_partkey as bigint) part from lineitem where l_orderkey%400=0"
+ALL_EDGES = "select distinct cast(l_orderkey as bigint) rel, cast(l_partkey as bigint) part from lineitem"
 LINKED = "select distinct a.part a, b.part b from edges a join edges b on a.rel=b.rel"
 REACHED = "select a, b from linked union select r.a, l.b from reached r join linked l on r.b=l.a"
 
 
-@query("select a as node, min(b) as component from reached group by a", edges=EDGES, linked=LINKED, reached=REACHED)
-def group_components(spark, sf_dir):
-    """Parts that belong together because relations (orders) name them together."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0").select(F.col("l_orderkey").cast("long").alias("rel"), F.col("l_partkey").cast("long").alias("a"))
+def named_together(lines: DataFrame) -> DataFrame:
+    rows = lines.select(F.col("l_orderkey").cast("long").alias("rel"), F.col("l_partkey").cast("long").alias("a"))
     edges = rows.join(rows.groupBy("rel").agg(F.min("a").alias("b")), "rel").select("a", "b")
     linked = components.components(edges)
     return rows.select(F.col("a").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-@query("select cast(rel as bigint) component, cast(count(*) as bigint) n from edges left join (select p_partkey, p_size from part where p_size<>7) p on p.p_partkey=part group by rel having bool_and(p_size is not null) or bool_or(coalesce(p_size=1,false))", edges=EDGES)
-def relation_groups(spark, sf_dir):
-    """Relations of which no member is missing, or that have a multipolygon (size 1) among them."""
-    members = table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0").select(F.col("l_orderkey").cast("long").alias("component"), F.col("l_partkey").cast("long").alias("id")).distinct()
+@query("select a as node, min(b) as component from reached group by a", edges=EDGES, linked=LINKED, reached=REACHED)
+def group_components(spark, sf_dir):
+    """Parts that belong together because relations (orders) name them together."""
+    return named_together(table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
+
+
+@query()
+def group_components_whole(spark, sf_dir):
+    """group_components over all relations."""
+    return named_together(table(spark, sf_dir, "lineitem"))
+
+
+RELATIONS = "select cast(rel as bigint) component, cast(count(*) as bigint) n from edges left join (select p_partkey, p_size from part where p_size<>7) p on p.p_partkey=part group by rel having bool_and(p_size is not null) or bool_or(coalesce(p_size=1,false))"
+
+
+def complete(spark, sf_dir, lines: DataFrame) -> DataFrame:
+    members = lines.select(F.col("l_orderkey").cast("long").alias("component"), F.col("l_partkey").cast("long").alias("id")).distinct()
     elements = table(spark, sf_dir, "part").filter("p_size <> 7").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") == 1).alias("multipolygon"))
     return aggregate.complete_relations(members, elements)
 
 
+@query(RELATIONS, edges=EDGES)
+def relation_groups(spark, sf_dir):
+    """Relations of which no member is missing, or that have a multipolygon (size 1) among them."""
+    return complete(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
+
+
+@query(RELATIONS, edges=ALL_EDGES)
+def relation_groups_whole(spark, sf_dir):
+    """relation_groups over all relations."""
+    return complete(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
 @agg_query("select name, ubid, height_m from agg")
 def height_aggregate(spark, sf_dir):
     return compared(spark, sf_dir).aggregate.select("name", "ubid", "height_m")
