@@ -3,7 +3,8 @@
 import pytest
 
 from tests.oracle import connection, differences
-from tilewright.plans.queries import ORACLES, QUERIES
+from tilewright.plans.queries import ORACLES, QUERIES, around_mismatches, walls
+from tilewright.plans.views import view
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,16 @@ def test_components_of_all_relations(spark):
 def test_all_relations_are_grouped(spark):
     data = "/root/testdata/sf0.001"
     assert QUERIES["relation_groups_whole"](spark, data).filter("component % 400 <> 0").count() > 0
+
+
+def test_every_building_is_a_wall(spark):
+    data = "/root/testdata/sf0.001"
+    want = {(r.id % 8, (r.ymin * 7 + r.id // 97) % 256, (r.xmin * 3 + r.id // 97 * 5) % 256) for r in view(spark, data, "bld").filter("name = 'osm'").collect()}
+    assert {tuple(r) for r in walls(spark, data).collect()} == want
+
+
+def test_surroundings_of_what_is_unmatched(spark):
+    box = "name string, id long, xmin long, ymin long, xmax long, ymax long"
+    rows = [("osm", 17, 10, 10, 30, 30), ("osm", 18, 60, 10, 80, 30), ("msbf", 17, 11, 10, 31, 30), ("msbf", 18, 60, 40, 80, 60)]
+    got = around_mismatches(spark.createDataFrame(rows, box)).collect()
+    assert sorted((r.id, r.near_id) for r in got) == [(18, 17), (18, 18)]

@@ -524,11 +524,17 @@ def cyclic_rank(spark, sf_dir):
 from bld a join bld b on a.name='msbf' and b.name='osm' and a.id%17=0 and b.xmin//100 between a.xmin//100-1 and a.xmin//100+1 and b.xmin-50<=a.xmax and b.xmax+50>=a.xmin and b.ymin-50<=a.ymax and b.ymax+50>=a.ymin""", "bld")
 def surroundings(spark, sf_dir):
     """Boxes within 50 units around a mismatch, found through the grid."""
-    rows = view(spark, sf_dir, "bld")
-    wide = rows.filter("name = 'msbf' and id % 17 = 0").select(F.col("id"), *[F.col(c).alias(f"a_{c}") for c in footprint.CORNERS])
+    return around_mismatches(view(spark, sf_dir, "bld"))
+
+
+def around_mismatches(rows: DataFrame) -> DataFrame:
+    """id, near_id, d2 of the msbf rows that no osm box is assigned to and the osm boxes around them."""
+    msbf, osm = rows.filter("name = 'msbf'"), rows.filter("name = 'osm'")
+    lost = footprint.assign(msbf, osm).filter("footprint is null").select("id")
+    wide = msbf.join(lost, "id", "left_semi").select(F.col("id"), *[F.col(c).alias(f"a_{c}") for c in footprint.CORNERS])
     around = Box(F.col("a_xmin") - 50, F.col("a_ymin") - 50, F.col("a_xmax") + 50, F.col("a_ymax") + 50)
     wide = wide.select("*", F.explode(around.cells(100)).alias("cell"))
-    near = rows.filter("name = 'osm'").select(F.col("id").alias("near_id"), *[F.col(c).alias(f"b_{c}") for c in footprint.CORNERS]).select("*", F.explode(Box.of("b_").cells(100)).alias("cell"))
+    near = osm.select(F.col("id").alias("near_id"), *[F.col(c).alias(f"b_{c}") for c in footprint.CORNERS]).select("*", F.explode(Box.of("b_").cells(100)).alias("cell"))
     pairs = wide.join(near, "cell").filter(around.intersects(Box.of("b_")))
     return pairs.select("id", "near_id", Box.of("a_").distance2(Box.of("b_")).cast("double").alias("d2")).distinct()
 
@@ -599,7 +605,7 @@ def cameras(spark, sf_dir) -> DataFrame:
 
 def walls(spark, sf_dir) -> DataFrame:
     """Wall pixels of eight mask tiles."""
-    b = view(spark, sf_dir, "bld").filter("name = 'osm' and id % 97 = 0")
+    b = view(spark, sf_dir, "bld").filter("name = 'osm'")
     return b.select((F.col("id") % 8).alias("tile"), F.pmod(F.col("ymin") * 7 + F.expr("id div 97"), F.lit(256)).alias("r"), F.pmod(F.col("xmin") * 3 + F.expr("id div 97") * 5, F.lit(256)).alias("c")).distinct()
 
 
