@@ -4,7 +4,7 @@ A vocabulary trie whose nodes carry a failure link and the number of pieces popp
 longest-match word-piece lengths come from one pass over a word's characters; no piece is ever built.
 
 Null and empty texts have no words and no tokens.  A word that the vocabulary cannot cover counts as one
-unknown token, as does a word of more than ``max_chars`` characters.  Rows are independent: repeated rows
+unknown token, whatever its length; words have no limit.  Rows are independent: repeated rows
 repeat in the result, extra columns are ignored, and an empty table gives an empty result.
 """
 
@@ -24,8 +24,7 @@ SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 class LongestMatchCounter:
     """``vocabulary``: pieces; those within a word begin with ``prefix``."""
 
-    def __init__(self, vocabulary: Iterable[str], prefix: str = "##", max_chars: int = 100):
-        self.max_chars = max_chars
+    def __init__(self, vocabulary: Iterable[str], prefix: str = "##"):
         pieces = {p for p in vocabulary if p}
         self.next: list[dict[str, int]] = [{}, {}]  # 0: a word's begin, 1: within a word
         final = [False, False]
@@ -60,8 +59,6 @@ class LongestMatchCounter:
 
     def count(self, word: str) -> int:
         """Pieces of the word, or UNCOVERED."""
-        if len(word) > self.max_chars:
-            return UNCOVERED
         nxt, fail, popped = self.next, self.fail, self.popped
         at, count = 0, 0
         for c in word:
@@ -82,15 +79,19 @@ class LongestMatchCounter:
 
 
 class _Memo(dict):
-    """word bytes -> count; kept small enough for a Python worker."""
+    """word bytes -> count; kept small enough for a Python worker: of long words none."""
+
+    LONGEST = 64
 
     def __init__(self, counter: LongestMatchCounter, most: int = 400_000):
         self.counter, self.most = counter, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self[word] = self.counter.count(word.decode("utf-8"))
+        n = self.counter.count(word.decode("utf-8"))
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
         return n
 
 
