@@ -8,6 +8,11 @@ padded but what is left at the end, which is cut into sequences of powers of two
 Offsets are running sums within the range partitions plus one total for each partition; these totals, one
 for each partition, are all that the driver sees.
 
+Ids are those of the tokenizers library.  Most texts get them from a library that gives the same ids without
+offsets; texts that it can't take (its pattern matcher has a bounded stack, which long runs of white space
+exceed) and texts with a run of MATCHED characters that are not spaces get them from the backtracking
+encoder, which is linear.
+
 A null or empty text is the end id alone.  Equal keys follow by doc_id (nulls last), then by place in the
 input; repeated rows are packed each.  Extra columns are ignored; an empty table gives an empty result.
 """
@@ -25,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN
+from .bpe import PATTERN, tokenizer
 from tilewright.sources.scratch import lean, stage
 from .textkit import tidy
 from .token_counts import byte_alphabet
@@ -34,11 +39,16 @@ LENGTH = 1024
 END_ID = 0
 DIMENSIONS = 3
 BITS = 10
+MATCHED = 20_000
 HASHED = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _axes = np.random.default_rng(11).standard_normal((HASHED, DIMENSIONS))
-_hashed = (np.arange(1 << 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+
+
+def hashed(ids: np.ndarray) -> np.ndarray:
+    """A cell below HASHED for each id."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
 
 
 _loaded: dict[str, tiktoken.Encoding] = {}
@@ -56,6 +66,16 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids that the tokenizers library gives."""
+    if len(text) < MATCHED or max(map(len, text.split()), default=0) < MATCHED:
+        try:
+            return encoding(path).encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # long white space
+            pass
+    return np.frombuffer(tokenizer(path).encode(text), dtype="<u4")
+
+
 def forget() -> None:
     """Drops the worker's encodings: they are large, and made again within a second."""
     _loaded.clear()
@@ -121,10 +141,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFram
         for batch in batches:
             raw, counts, where = [], [], []
             for text in batch.column("text"):
-                ids = np.append(bpe.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(END_ID))
+                ids = np.append(token_ids(tokenizer_path, text.as_py() or ""), np.uint32(END_ID))
                 counts.append(len(ids))
                 raw.append(ids.astype(small).tobytes())
-                shares = np.sqrt(np.bincount(_hashed[ids], minlength=HASHED) / len(ids))
+                shares = np.sqrt(np.bincount(hashed(ids), minlength=HASHED) / len(ids))
                 where.append(shares @ _axes)
             n = len(counts)
             where = np.array(where).reshape(n, DIMENSIONS)
