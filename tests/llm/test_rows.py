@@ -334,6 +334,68 @@ def test_html_main_text(tag):
     assert html_extract.extract(PAGE % (tag, tag)) == MAIN
 
 
+TEXT = "Some words of the text, with a comma or two, that go on long enough to count as a paragraph."
+INNER = '<div class="social-science"><p>Inner %s</p></div>', '<section class="search-engines"><p>Inner %s</p></section>', '<p id="form">Inner %s</p>', '<div class="related-work"><p>Inner %s</p></div>', '<p>Inner <span class="ad-hoc">%s</span></p>'
+
+
+@pytest.mark.parametrize("inner", INNER)
+def test_html_names_that_mark_nothing(inner):
+    page = f'<body><nav><a href="/">Home</a></nav><div id="content"><p>{TEXT}</p>{inner % TEXT}<p>{TEXT}</p><div class="comment-list"><p>{TEXT}</p></div></div></body>'
+    assert html_extract.extract(page) == f"{TEXT}\nInner {TEXT}\n{TEXT}"
+
+
+def test_html_marked_whole_page():
+    """A name doesn't cut what holds most of the page's text."""
+    page = f'<body><form id="aspnet"><div class="popup"><p>{TEXT}</p><p>{TEXT}</p><input></div></form><div class="ads"><p>{TEXT}</p></div></body>'
+    assert html_extract.extract(page) == f"{TEXT}\n{TEXT}"
+    for mark in ("ad", "popup"):
+        page = f'<body><div class="{mark}"><p>{TEXT}</p><p>{TEXT}</p></div><article><h1>Short one</h1></article></body>'
+        assert html_extract.extract(page) == "Short one"
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    n, began = 200_000, time.perf_counter()
+    assert html_extract.extract("<div>" * n + f"<p>{TEXT}") == TEXT
+    assert html_extract.extract("<div>" * n + f"<p>{TEXT}</p>" + "</div>" * n + "</span></section>" * n) == TEXT
+    assert html_extract.extract("<div><p>" * n + TEXT).endswith(TEXT)
+    assert html_extract.extract("<div>a<li>b" * n).count("a") == n
+    assert html_extract.extract(f"<p>{TEXT}" * 100_000) == "\n".join([TEXT] * 100_000)
+    assert html_extract.extract("<a '" * n) == "" and html_extract.extract("<table>" * n + "</p>" * n) == ""
+    assert time.perf_counter() - began < 60
+
+
+def test_html_scores_equal_a_walk():
+    """Points by walking up from every block, on random trees."""
+    rng = random.Random(11)
+    for _ in range(60):
+        out, depth = [], 0
+        for _ in range(60):
+            step = rng.random()
+            if step < 0.4:
+                out.append("<div>")
+                depth += 1
+            elif step < 0.6 and depth:
+                out.append("</div>")
+                depth -= 1
+            else:
+                out.append(f"<p>{', '.join(rng.choices(['some', 'words', 'here'], k=rng.randint(1, 30)))}</p>")
+        root, blocks = html_extract._parse("".join(out))
+        order = [root]
+        for n in order:
+            order.extend(n.children)
+        html_extract._totals(order)
+        want = {id(n): 0.0 for n in order}
+        for node, text in blocks:
+            at, share = node.parent, 1.0
+            while at is not None and len(text) >= 25:
+                want[id(at)] += share * html_extract._points(text)
+                at, share = at.parent, share / 2
+        html_extract._score(order, blocks)
+        assert all(abs(n.score - want[id(n)]) < 1e-9 for n in order)
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:
