@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is a few joins and aggregations; each ends in a written table, so no lineage grows and a lost
-executor costs its tasks alone.  Null ends and loops are ignored; repeated edges do no harm.
+executor costs its tasks alone.  The minima are written before they are joined: both sides of a join then come
+straight from a shuffle, and Spark splits a hot node's edges over tasks as it runs (adaptive skew joins).  Null ends and loops are ignored; repeated edges do no harm.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.sources.scratch import join_skewed, stage
+from tilewright.sources.scratch import stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -25,10 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.select("a", "b").union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
-        large = join_skewed(both, low, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        small = join_skewed(large, small_low, "a", 2 * state[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_low.select("a", F.col("m").alias("b"))).distinct()
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
+        large = stage(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = stage(small, "edges")
         before, state = state, _state(now)
         if before == state:

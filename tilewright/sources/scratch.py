@@ -1,7 +1,8 @@
 """Tables in the shared folder that cut lineage between the steps of an operator.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset, as in
-tests, a folder of our own is made and set on the context.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset and Spark runs
+in one process, as in tests, a folder of our own is made and set on the context.  Staged tables go when the
+application ends, or when ``release`` is called.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tilewright-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -29,19 +33,45 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spa
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """``df``, with its session sending small Arrow batches unless it was told a size."""
+    """``df``, with its session sending small Arrow batches unless it was told a size.  The batch size is the
+    session's, not the frame's, so the setting stays; one that was made on purpose is left alone."""
     conf = df.sparkSession.conf
-    for name, (default, small) in BATCH.items():
-        if conf.get(name) == default:
+    told = conf.getAll
+    for name, (_, small) in BATCH.items():
+        if name not in told:
             conf.set(name, small)
     return df
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where the application's tables go; removed with the application."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/tilewright/{context.applicationId}"
+    if path not in _removed_at_end:
+        _removed_at_end.add(path)
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+    return path
+
+
+_removed_at_end: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all staged tables; frames that read them are of no use afterwards."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(place, True)
+    _removed_at_end.discard(_folder(spark))
+
+
 def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, so that a lost executor costs no
     more than the tasks that read the table.  ``by``: partition columns of the table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -74,18 +104,3 @@ def _by_key(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
     keys = stage(keys.toDF(name).distinct(), "keys")
     few = keys.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if few else keys, F.col(key) == F.col(name), how)
-
-
-#: A key is hot if it has more than one in HOT_SHARE of all rows; one task can take FEW rows, whatever their keys.
-HOT_SHARE, FEW = 500, 200_000
-
-
-def join_skewed(df: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
-    """``df`` joined to ``keyed``, which has one row for each key and counts in ``c`` the key's rows in ``df``,
-    of at most ``rows`` in all.  Hot keys, at most HOT_SHARE of them, are broadcast, so that no task gets all
-    rows of one; the others are joined by a shuffle."""
-    if rows <= FEW:
-        return df.join(keyed.drop("c"), key)
-    least = rows // HOT_SHARE
-    hot = F.broadcast(keyed.filter(F.col("c") > least).drop("c"))
-    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(keyed.filter(F.col("c") <= least).drop("c"), key))
