@@ -477,11 +477,33 @@ def test_signature_forest_equals_brute_force():
     assert [forest.joined.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
 
 
-def test_components_with_hot_nodes(spark, monkeypatch):
-    from tilewright.sources import scratch
+def test_forest_of_many_small_sets_and_a_large_one():
+    """Bitmaps are sized by band: a large set costs small ones nothing."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rule = jaccard_join.Similarity(4, 85)
+    sets = [np.unique(rng.integers(0, 1 << 60, 50, dtype=np.uint64)) for _ in range(800)]
+    sets += [sets[7].copy(), np.unique(rng.integers(0, 1 << 60, 400_000, dtype=np.uint64))]
+    sets += [sets[-1][20_000:], np.unique(np.r_[sets[9], rng.integers(0, 1 << 60, 3, dtype=np.uint64)])]  # 47..53 hashes may lie in two bands
+    tracemalloc.start()
+    links = jaccard_join.SignatureForest(sets, rule).run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {tuple(sorted(p)) for p in links} == {(7, 800), (801, 802), (9, 803)} and peak < 40e6
+
+
+def test_jaccard_rows_of_one_doc_id_are_one_document(spark):
+    a, b, c = ("one two three four five six", "red green blue white black grey", "up down left right in out")
+    rows = [(5, a), (2, a), (9, b), (5, b), (7, c), (None, c)]
+    for parts in (1, 6):
+        got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), jaccard_join.Similarity(4, 85))
+        assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id) == [(2, 2), (5, 2), (5, 2), (7, 7), (9, 2)]
+
+
+def test_components_with_hot_nodes(spark):
     from tilewright.operators.components import components
 
-    monkeypatch.setattr(scratch, "FEW", 100)
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)] + [(2999, 4000), (None, 3), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(3000)}, 4000: 0, **{5000 + i: 5000 for i in range(31)}}

@@ -15,13 +15,13 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a b
    builds signature trees: nodes hold the OR of their sets' bitmaps and the range of sizes.  A dual
    traversal drops node pairs whose largest possible overlap is too small, and those that are linked
    already; sets at the leaves are compared exactly.
-5. A block split over tasks is finished by comparing a few documents of each of its parts, then by sending
-   those documents that aren't linked to its largest component to all its parts.
+5. A block split over tasks is finished by comparing a few documents of each of its parts, GROUP parts at a
+   time, then by sending those documents that aren't linked to its largest component to all its parts.
 
-Shingles are 64-bit hashes.  Within an input partition documents with the same set are kept once; the others
-follow the one kept.  Documents without words have an empty set and link with nothing.  Rows with a null
-doc_id keep their size, get a null component and link with nothing; rows that share a doc_id are one
-document.  Every input row gives a result row; extra columns are ignored; an empty table stays empty.
+Shingles are 64-bit hashes, and sets of them are what is compared.  Within an input partition documents with the
+same set are kept once, as the smallest doc_id among them; the others follow it.  Documents without words have
+an empty set and link with nothing.  Rows with a null doc_id keep their size, get a null component and link
+with nothing; rows that share a doc_id are one document.  Every input row gives a result row; extra columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.components import components
-from tilewright.sources.scratch import BROADCAST_ROWS, join_skewed, lean, only, stage, without
+from tilewright.sources.scratch import BROADCAST_ROWS, lean, only, stage, without
 from .textkit import shingles, tidy, words_by_chunk
 
 SKETCH_BITS = 20
@@ -47,6 +47,7 @@ LEAF = 8
 #: One in so many shingles is added to a prefix, and must be shared.
 SHARE = 20
 PIVOTS = 8
+GROUP = 16
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,8 @@ class SignatureNode:
 
 
 class SignatureForest:
-    """Signature trees over sets (sorted arrays of hashes), and the links found among them.
+    """Signature trees over sets (sorted arrays of hashes), and the links found among them.  There is a tree for
+    each band of sizes, which sets the width of its bitmaps, so a large set costs small ones nothing.
 
     ``known``: pairs of places known to be linked; ``side``: with it, only pairs of different sides are
     compared."""
@@ -117,35 +119,33 @@ class SignatureForest:
         self.size = [len(s) for s in sets]
 
     def run(self) -> list[tuple[int, int]]:
-        order = sorted((i for i, n in enumerate(self.size) if n), key=lambda i: (self.size[i].bit_length(), int(self.sets[i][0]), self.size[i]))
-        if not order:
-            return []
-        self.width = 1 << max(6, (4 * max(self.size)).bit_length())
-        if self.side is None:
-            trees = [self._tree(order)]
-            self._within(trees[0])
-        else:
-            left = self._tree([i for i in order if self.side[i]])
-            right = self._tree([i for i in order if not self.side[i]])
-            if left and right:
-                self._across(left, right)
+        bands: dict[tuple[int, bool], list[int]] = {}
+        for i in sorted((i for i, n in enumerate(self.size) if n), key=lambda i: (int(self.sets[i][0]), self.size[i])):
+            bands.setdefault((self.size[i].bit_length(), bool(self.side and self.side[i])), []).append(i)
+        trees = [(side, self._tree(items, 1 << max(6, band + 2))) for (band, side), items in sorted(bands.items())]
+        for k, (side, tree) in enumerate(trees):
+            if self.side is None:
+                self._within(tree)
+            for other_side, other in trees[:k]:
+                if self.side is None or side != other_side:
+                    self._across(other, tree)
         return self.links
 
-    def _tree(self, order: list[int]) -> SignatureNode | None:
+    def _tree(self, order: list[int], width: int) -> SignatureNode:
         level = []
         for a in range(0, len(order), LEAF):
             items = order[a : a + LEAF]
             children = []
             for i in items:
-                bits = np.zeros(self.width, dtype=bool)
-                bits[(self.sets[i] & np.uint64(self.width - 1)).astype(np.int64)] = True
+                bits = np.zeros(width, dtype=bool)
+                bits[(self.sets[i] & np.uint64(width - 1)).astype(np.int64)] = True
                 packed = np.packbits(bits).view(np.uint64)
                 children.append(SignatureNode(packed, self.size[i], self.size[i], self.size[i] - int(np.bitwise_count(packed).sum()), [i], None))
                 children[-1].whole = True
             level.append(self._parent(children))
         while len(level) > 1:
             level = [self._parent(level[a : a + LEAF]) for a in range(0, len(level), LEAF)]
-        return level[0] if level else None
+        return level[0]
 
     @staticmethod
     def _parent(children: list[SignatureNode]) -> SignatureNode:
@@ -163,7 +163,16 @@ class SignatureForest:
         rule = self.rule
         if 100 * a.high < rule.percent * b.low or 100 * b.high < rule.percent * a.low:
             return False
-        most = min(a.high, b.high, int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.excess, b.excess))
+        x, y = a.bits, b.bits
+        if len(x) == len(y):
+            excess = min(a.excess, b.excess)
+        else:  # the wider bitmap is folded to the narrower one's width; that one's excess bounds what a bit hides
+            excess = a.excess if len(x) < len(y) else b.excess
+            while len(x) > len(y):
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] | y[len(y) // 2 :]
+        most = min(a.high, b.high, int(np.bitwise_count(x & y).sum()) + excess)
         return most >= rule.least_overlap(a.low, b.low)
 
     def _done(self, a: SignatureNode, b: SignatureNode) -> bool:
@@ -360,12 +369,9 @@ def _candidate_sets(docs: DataFrame, blocks: DataFrame, rule: Similarity) -> Dat
     return stage(texts.select("block", "doc_id", "text").mapInArrow(tidy(run), "block long, doc_id long, n long, tokens binary"), "sets")
 
 
-def _arrays(raw: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.uint64) for x in raw]
-
-
 def _runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]]]:
-    """Rows of equal keys, which come one after the other: (key, a list for each column)."""
+    """Rows of equal keys, which come one after the other: (key, a list for each column); binaries are arrays of
+    hashes that share the batch's memory."""
     now, held = None, [[] for _ in columns]
     for batch in batches:
         keys = batch.column(key).to_numpy()
@@ -378,7 +384,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...])
                 held = [[] for _ in columns]
             now = int(keys[at])
             for h, v in zip(held, values):
-                h += v.slice(at, to - at).to_pylist()
+                part = v.slice(at, to - at)
+                h += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part] if pa.types.is_binary(v.type) else part.to_pylist()
             at = to
     if now is not None:
         yield now, held
@@ -394,8 +401,8 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for block, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
-            links = SignatureForest(_arrays(raw), rule).run()
-            yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, len(x) // 8) for i, x in zip(ids, raw)], names)
+            links = SignatureForest(raw, rule).run()
+            yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, len(x)) for i, x in zip(ids, raw)], names)
 
     by = ("block", "n", "doc_id")
     found = stage(sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(local), shape), "links")
@@ -413,16 +420,22 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
 
     def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
-            yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(_arrays(raw), rule).run()], ("a", "b"))
+            yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(raw, rule).run()], ("a", "b"))
+
+    groups, links, inner = parts, links, found.filter("kind = 0").filter(F.col("block").isin(split)).select("a", "b")
+    size = 1
+    while groups > 1:  # GROUP parts at a time, then GROUP of those at a time
+        labelled = with_components(inner).withColumn("group", F.floor(F.col("part") / size))
+        heads = labelled.groupBy("block", "group", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
+        heads = heads.groupBy("block", "group").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "doc_id")), asc=False), 1, PIVOTS).alias("top"))  # components of one group
+        heads = heads.select("block", F.xxhash64("block", F.floor(F.col("group") / GROUP)).alias("meeting"), F.explode("top.doc_id").alias("doc_id"))
+        tried = own.join(heads, ["block", "doc_id"]).select(F.col("meeting").alias("block"), "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(tidy(pivots), "a long, b long")
+        tried = stage(tried, "pivots")
+        links, inner = links.union(tried), inner.union(tried)
+        groups, size = -(-groups // GROUP), size * GROUP
+    links = stage(links, "links")
 
     inside = [F.col("b.block") == F.col("a.block")]
-    first = with_components(found.filter("kind = 0").filter(F.col("block").isin(split)).select("a", "b"))
-    heads = first.groupBy("block", "part", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
-    heads = heads.groupBy("block", "part").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "doc_id")), asc=False), 1, PIVOTS).alias("top"))  # rows of one part
-    heads = heads.select("block", F.explode("top.doc_id").alias("doc_id"))
-    tried = own.join(heads, ["block", "doc_id"]).select("block", "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(tidy(pivots), "a long, b long")
-    links = stage(links.union(tried), "links")
-
     second = stage(with_components(links), "labelled")
     largest = second.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     places = second.groupBy("block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -438,26 +451,37 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
         for _, (ids, raw, labels, side) in _runs(batches, "place", ("doc_id", "tokens", "component", "visits")):
             firsts: dict[int, int] = {}
             known = [(firsts.setdefault(c, i), i) for i, c in enumerate(labels)]
-            yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(_arrays(raw), rule, known, side).run()], ("a", "b"))
+            yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(raw, rule, known, side).run()], ("a", "b"))
 
     meeting = hosts.union(visits).join(own, ["block", "doc_id"]).withColumn("place", F.xxhash64("block", "part"))
     met = meeting.select("place", "n", "doc_id", "tokens", "component", "visits").repartition(parts, "place").sortWithinPartitions("place", "n", "doc_id").mapInArrow(tidy(meet), "a long, b long")
     return links.union(met)
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(rep, node): for each document that stands for the others of its partition, the smallest of them."""
+    return stage(rows.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("node")), "nodes")
+
+
+def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes that rows of one doc_id follow."""
+    pairs = rows.join(nodes, "rep").select("doc_id", "node").distinct()
+    several = pairs.groupBy("doc_id").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1").select("doc_id", "low")
+    return pairs.join(several, "doc_id").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
 def jaccard_join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prefixes = _prefixes(docs, rule)
+    rows = _prefixes(docs, rule)
+    nodes = _named(rows)
+    # from here on a document that stands for others goes by the smallest doc_id of them
+    prefixes = stage(rows.filter("tokens is not null").join(nodes, "rep").select(F.col("node").alias("doc_id"), "n", "tokens"), "prefixes")
     blocks = components(_neighbours(prefixes, rule))
     sets = _candidate_sets(docs, blocks, rule)
-    linked = components(_links(sets, rule))
-    labelled = prefixes.select("doc_id", "n", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("label"))
-    labelled = stage(labelled, "labelled")
-    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
-    found = join_skewed(labelled.filter("label is not null"), lowest, "label", labelled.count())
-    lone = labelled.filter("label is null").withColumn("component_id", F.lit(None).cast("long"))
-    return found.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = components(_links(sets, rule).union(_same_document(rows, nodes)))
+    found = nodes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("component_id"))
+    return rows.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_similar(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
