@@ -34,8 +34,8 @@ def test_resolution_equals_a_loop(spark):
     for i in range(400):
         revisit = rng.random() < 0.5
         tag, day = rng.choice([None, "a", "b"]), rng.choice([None, "d1", "d2"])
-        headers = rng.choice([None, {"date": str(i)}, {"date": str(i), "content-length": "0"}, {"x": "1", "vary": "y"}])
-        rows.append((i, rng.choice(["u.x/1", "u.x/2", "u.x/2/", None]), rng.choice([None, *range(30)]), revisit, tag, day, None if revisit else f"p{i}", headers))
+        headers = rng.choice([None, {"Date": str(i)}, {"date": str(i), "Content-Length": "0"}, {"x": "1", "vary": "y"}, {"DATE": "0", "ETag": "e"}])
+        rows.append((i, rng.choice(["u.x/1", "u.x/2", "u.x/2/", None]), rng.choice([None, *range(30), -(10**15), 10**17]), revisit, tag, day, None if revisit else f"p{i}", headers))
     got = {r.id: r for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(4), slices=5).collect()}
     permitted = {"cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"}
     for i, url, ts, revisit, tag, day, _, headers in rows:
@@ -48,8 +48,9 @@ def test_resolution_equals_a_loop(spark):
         if best is None:
             want = (None, "missing", None, headers or {})
         elif (tag == best[4]) if tag and best[4] else (day is not None and day == best[5]):
-            sent = {k: v for k, v in (headers or {}).items() if k in permitted}
-            want = (best[0], "resolved", best[6], {**(best[7] or {}), **sent})
+            sent = {k: v for k, v in (headers or {}).items() if k.lower() in permitted}
+            names = {k.lower() for k in sent}
+            want = (best[0], "resolved", best[6], {**{k: v for k, v in (best[7] or {}).items() if k.lower() not in names}, **sent})
         else:
             want = (best[0], "changed", None, headers or {})
         r = got[i]
@@ -57,6 +58,19 @@ def test_resolution_equals_a_loop(spark):
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_odd_times_repeated_rows_and_long_payloads(spark):
+    """One bad time doesn't put all others into one slice; repeated rows are resolved each; clashing columns do no harm."""
+    from pyspark.sql import functions as F
+
+    body = "x" * 3_000_000
+    rows = [(i, "u.x/1", 100 + i, i % 2 == 1, "a", None, None if i % 2 else body, None) for i in range(8)] + [(99, "u.x/1", 10**18, False, "b", None, "late", None)]
+    frame = spark.createDataFrame(rows + [rows[1], rows[0]], SCHEMA)
+    for name in ("uid", "slice", "near", "carried", "r", "status", "of_uid", "canonical_url", "response_id", "time"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = sorted((r.id, r.response_id, r.status, len(r.payload)) for r in resolve_revisits(frame).collect())
+    assert got == [(1, 0, "resolved", len(body)), (1, 0, "resolved", len(body)), (3, 2, "resolved", len(body)), (5, 4, "resolved", len(body)), (7, 6, "resolved", len(body))]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tilewright.llm import exact_dedup, jaccard_join

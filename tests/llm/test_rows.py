@@ -67,13 +67,35 @@ def test_grace_table_spills_and_stays_exact():
     texts = [f"text {rng.randrange(400)} {'x' * 50}".encode() for _ in range(5000)]
     grace = exact_dedup.GraceTable(limit=3000)
     for i, t in enumerate(texts):
-        grace.add(t, hashlib.sha256(t).digest(), i, i, 1)
-    got = {g.text: (g.doc_id, g.count, sorted(u for u, _ in g.others)) for g in grace.drain()}
+        grace.add(t, hashlib.sha256(t).digest(), i, i, i, i, 1)
+    got = {g.text: (g.first_uid, g.doc_id, g.count) for g in grace.drain() if g is not None}
     places = {}
     for i, t in enumerate(texts):
         places.setdefault(t, []).append(i)
-    assert got == {t: (p[0], len(p), p[1:]) for t, p in places.items()}
-    assert grace.folder and not __import__("os").path.exists(grace.folder)
+    assert got == {t: (p[0], p[0], len(p)) for t, p in places.items()}
+    assert sorted(grace.joined) == sorted((i, i, p[0]) for p in places.values() for i in p[1:])
+    path = __import__("os").path
+    assert grace.folder and path.exists(grace.folder)
+    grace.close()
+    assert not path.exists(grace.folder)
+
+
+def test_grace_rows_leave_in_bounded_batches():
+    """A million empty texts and many distinct ones, beyond the table: batches stay small, spill files go."""
+    import pyarrow as pa
+
+    schema = "uid long, of_uid long"
+    records = ((b"" if i % 4 else b"%d" % i, hashlib.sha256(b"" if i % 4 else b"%d" % i).digest(), i, i, i, i, 1) for i in range(1_000_000))
+    seen = 0
+    for batch in exact_dedup._grace(records, schema, lambda r: (r[0], r[2]), lambda g: (g.first_uid, None)):
+        assert batch.num_rows <= 3 * exact_dedup.ROWS
+        seen += batch.num_rows
+    assert seen == 1_000_000 and pa.total_allocated_bytes() < 50e6
+    stopped = exact_dedup._grace(((str(i).encode() * 4000, hashlib.sha256(b"%d" % i).digest(), i, i, i, i, 1) for i in range(20_000)), schema, lambda r: (r[0], r[2]), lambda g: (g.first_uid, None))
+    before = set(__import__("glob").glob("/tmp/grace-*"))
+    next(stopped)
+    stopped.close()  # as when a task is cancelled
+    assert set(__import__("glob").glob("/tmp/grace-*")) <= before
 
 
 def test_quality_rules_match_brute_force(spark, docs, nothing):

@@ -6,15 +6,18 @@ change), the revisit stands for its content, with those headers replaced that a
 replace; otherwise it stays unresolved.
 
 The join is windows over (URL, slice of time), then a carry of each slice's last response to later slices of
-its URL, so a URL that holds a third of all captures is spread over SLICES tasks.
+its URL.  The slices are bounded by quantiles of all times, so a URL that holds a third of all captures is
+spread over a third of SLICES tasks or more, whatever its times and however odd some are.  Payloads take no
+part in it; they are joined to what is resolved at the end.
 
 A capture has id, url, ts, revisit (boolean), etag, modified, payload, headers (map).  Null times and URLs
 match nothing; of responses at the same time the greatest id counts; a response at the very time of a revisit
-is not earlier.  Repeated revisits are resolved each; extra columns are ignored; empty tables stay empty.
+is not earlier.  Header names compare without case and keep the case they came in.  Repeated revisits are resolved each; extra columns are ignored; empty tables stay empty.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,18 +45,20 @@ def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     """One row per revisit: id, canonical_url, response_id, status (resolved, changed or missing), payload,
     headers (``name: value`` lines in order of the name; of the revisit alone if unresolved)."""
     fields = captures.select(
-        F.col("id").cast("long").alias("id"), canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"),
+        F.monotonically_increasing_id().alias("uid"), F.col("id").cast("long").alias("id"), canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"),
         F.coalesce("revisit", F.lit(False)).alias("revisit"), "etag", "modified", "payload", "headers",
     )
-    fields = stage(fields, "captures")
-    span = fields.agg(F.coalesce(F.min("ts"), F.lit(0)), F.coalesce(F.max("ts"), F.lit(0))).first()
-    width = (span[1] - span[0]) // slices + 1
-    sliced = fields.withColumn("slice", F.floor((F.col("ts") - span[0]) / width))
-    response = F.when(~F.col("revisit"), F.struct("ts", "id", "etag", "modified", "payload", "headers"))
-    within = W.partitionBy("canonical_url", "slice").orderBy("ts", F.desc("revisit"), "id").rowsBetween(W.unboundedPreceding, -1)
+    staged = stage(fields, "captures")
+    fields = staged.drop("payload")
+    marks = fields.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)], 20 * slices)).first()[0] if slices > 1 else None  # slices numbers
+    bounds = [float("-inf"), *sorted({float(x) for x in marks or (0,)}), float("inf")]
+    in_slice = Bucketizer(splits=bounds, inputCol="time", outputCol="slice", handleInvalid="keep")
+    sliced = in_slice.transform(fields.withColumn("time", F.coalesce(F.col("ts").cast("double"), F.lit(0.0)))).drop("time")
+    response = F.when(~F.col("revisit"), F.struct("ts", "id", "uid", "etag", "modified", "headers"))
+    within = W.partitionBy("canonical_url", "slice").orderBy("ts", F.desc("revisit"), "id", "uid").rowsBetween(W.unboundedPreceding, -1)
     able = F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
     timed = sliced.filter(able).withColumn("near", F.last(response, ignorenulls=True).over(within)).filter("revisit")
-    newest = sliced.filter(able & ~F.col("revisit")).groupBy("canonical_url", "slice").agg(F.max_by(F.struct("ts", "id", "etag", "modified", "payload", "headers"), F.struct("ts", "id")).alias("newest"))
+    newest = sliced.filter(able & ~F.col("revisit")).groupBy("canonical_url", "slice").agg(F.max_by(F.struct("ts", "id", "uid", "etag", "modified", "headers"), F.struct("ts", "id", "uid")).alias("newest"))
     # a row for each slice of a URL: at most ``slices`` of them
     places = timed.select("canonical_url", "slice").distinct().withColumn("newest", F.lit(None).cast(newest.schema["newest"].dataType))
     before = W.partitionBy("canonical_url").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -65,26 +70,32 @@ def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     same = F.when(F.col("etag").isNotNull() & F.col("r.etag").isNotNull(), F.col("etag") == F.col("r.etag")).otherwise(F.coalesce(F.col("modified") == F.col("r.modified"), F.lit(False)))
     status = F.when(F.col("r").isNull(), "missing").when(same, "resolved").otherwise("changed")
     none = F.create_map().cast("map<string,string>")
-    sent = F.map_filter(F.coalesce("headers", none), lambda k, _: k.isin(*PERMITTED))
-    stored = F.map_filter(F.coalesce("r.headers", none), lambda k, _: ~F.map_contains_key(sent, k))
+    sent = F.map_filter(F.coalesce("headers", none), lambda k, _: F.lower(k).isin(*PERMITTED))
+    sent_names = F.transform(F.map_keys(sent), F.lower)
+    stored = F.map_filter(F.coalesce("r.headers", none), lambda k, _: ~F.array_contains(sent_names, F.lower(k)))
     lines = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
     resolved = F.col("status") == "resolved"
-    return both.withColumn("status", status).select(
+    answers = both.withColumn("status", status).select(
         "id", "canonical_url", F.when(F.col("status") != "missing", F.col("r.id")).alias("response_id"), "status",
-        F.when(resolved, F.col("r.payload")).alias("payload"), F.when(resolved, lines(F.map_concat(sent, stored))).otherwise(lines(F.coalesce("headers", none))).alias("headers"),
+        F.when(resolved, F.col("r.uid")).alias("of_uid"), F.when(resolved, lines(F.map_concat(sent, stored))).otherwise(lines(F.coalesce("headers", none))).alias("headers"),
     )
+    # a body that many revisits stand for is a hot key; both sides come straight from a shuffle, so Spark splits it
+    answers, bodies = stage(answers, "answers"), staged.filter("not revisit").select(F.col("uid").alias("of_uid"), "payload")
+    held = answers.filter("of_uid is not null").join(bodies, "of_uid", "left")
+    bare = answers.filter("of_uid is null").withColumn("payload", F.lit(None).cast(bodies.schema["payload"].dataType))
+    return held.unionByName(bare).select("id", "canonical_url", "response_id", "status", "payload", "headers")
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Captures of a page table: a full response for each page and, some time later, a revisit by each page.
+    """Captures of a page table: a full response with each page's html and, some time later, a revisit by each page.
 
     Revisits send the entity tag they know but for every fourth page, and every eleventh a stale one.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("id"), "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+    p = pages.select(F.col("page_id").cast("long").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.md5("html"))
     tag = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     changed = F.concat(F.lit("day "), (F.col("id") % 97).cast("string"))
     responses = p.select(
-        "id", "url", (2 * F.col("id")).alias("ts"), F.lit(False).alias("revisit"), tag(F.col("digest")).alias("etag"), changed.alias("modified"), F.col("digest").alias("payload"),
+        "id", "url", (2 * F.col("id")).alias("ts"), F.lit(False).alias("revisit"), tag(F.col("digest")).alias("etag"), changed.alias("modified"), F.col("html").alias("payload"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag(F.col("digest")), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
     )
     known = F.when(F.col("id") % 11 == 0, tag(F.lit("stale"))).when(F.col("id") % 4 != 0, tag(F.col("digest")))
