@@ -111,11 +111,52 @@ def test_quality_rules_match_brute_force(spark, docs, nothing):
     assert got == want
     assert quality_rules.quality_rules(docs, known).count() == len(edge_rows())
     assert quality_rules.quality_rules(nothing, known).count() == 0
-    assert {r.score for r in quality_rules.quality_rules(docs, labels(spark)).collect()} != set()
+    assert {r.score for r in quality_rules.quality_rules(docs, labels(spark)).collect()} == {0.0}
     kept = quality_rules.keep_good(docs, known)
     assert kept.columns == docs.columns and {r.kept for r in kept.collect()} <= {"no"}
 
 
+def test_quality_scores_equal_a_loop(spark):
+    """Both multinomials, the mean log ratio and the verdict, with the hash from its own library."""
+    import xxhash
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(40)] + (["junk"] * 60 if i % 3 == 0 else []), k=rng.randint(0, 90)))) for i in range(50)] + [(None, "w1 w2"), (51, None)]
+    good = {i for i in range(50) if i % 3 and i % 2}
+    known = labels(spark, [(i, 1, 0) for i in good] * 2 + [(0, 0, 0), (3, 1, 1), (6, None, None)])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def grams(text):
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words(text)]
+        pairs = [xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest() for a, b in zip(h, h[1:])]
+        return [signed(x) % quality_rules.BUCKETS for x in h + pairs]
+
+    corpus, target = Counter(), Counter()
+    for i, t in rows:
+        corpus.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    n, m, size, prior = sum(corpus.values()), sum(target.values()), quality_rules.BUCKETS, quality_rules.PRIOR
+
+    def ratio(b):
+        share = (corpus[b] + 1) / (n + size)
+        return round(1e6 * (np.log((target[b] + prior * share) / (m + prior)) - np.log(share)))
+
+    got = {r.doc_id: (r.score, r.kept) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), known, threshold=-0.001).collect()}
+    passed = 0
+    for i, t in rows:
+        g = grams(t)
+        score = sum(map(ratio, g)) / (1e6 * len(g)) if g else 0.0
+        assert abs(got[i][0] - score) < 2e-6  # each ratio is rounded to a millionth
+        w = words(t)
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        if abs(score + 0.001) > 2e-6:
+            assert got[i][1] == (len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and score >= -0.001)
+        passed += got[i][1]
+    assert 0 < passed < len(rows)
+
+
 def test_quality_rules_separate_and_repeat(spark):
     rng = random.Random(2)
     vocabulary_ = [f"w{i}" for i in range(300)]
@@ -265,6 +306,29 @@ def test_quality_knn(spark, docs, nothing):
     assert quality_knn.keep_good(docs, known).columns == docs.columns
 
 
+def test_quality_votes_equal_a_loop(spark):
+    """Cosines with all labelled points, the nearest of them, weighted votes: by a sort for every document."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_knn.fit(docs, known)
+    learnt = {r.doc_id for r in known.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5} & {r.doc_id for r in docs.collect()}
+    assert len(model.points) == len(learnt)
+    scored = {r.doc_id: r.score for r in quality_knn.quality_knn(docs, known).collect()}
+    for r in docs.collect():
+        (x,) = np.concatenate(list(quality_knn._rows(pa.array([r.text]))))
+        if not x.any():
+            assert abs(scored[r.doc_id] - model.labels.mean()) < 1e-6
+            continue
+        z = (x - model.centre).astype(float) @ model.axes
+        cosines = sorted(((float(p @ z) / np.linalg.norm(z), float(q)) for p, q in zip(model.points.astype(float), model.labels)), reverse=True)
+        near, edge = cosines[: quality_knn.NEIGHBOURS], cosines[quality_knn.NEIGHBOURS - 1][0] - cosines[quality_knn.NEIGHBOURS][0]
+        weights = [max(c, 0) ** quality_knn.SHARPNESS + 1e-6 for c, _ in near]
+        if edge > 1e-5:  # else rounding decides which of equally near ones vote
+            assert abs(scored[r.doc_id] - sum(w * q for w, (_, q) in zip(weights, near)) / sum(weights)) < 1e-3
+
+
 def test_quality_knn_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     known = spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,7 +1,7 @@
 """Quality rules: text statistics, and a hashed n-gram log-likelihood ratio with a fixed threshold.
 
 Only DataFrame functions.  Two multinomials over hashed word unigrams and bigrams are counted: one over
-all documents, one over the trusted target, the labelled good documents.  A document's score is the mean of
+all documents, one over the trusted target, all labelled good documents.  A document's score is the mean of
 log p_target - log p_corpus over its n-grams; documents whose score is below the threshold go.  Nothing is
 drawn at random, so the verdict on a document is always the same.
 
@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.sources.scratch import BROADCAST_ROWS, stage
+
 #: Buckets of the two multinomials.
 BUCKETS = 1 << 16
-#: Labelled good documents that the target multinomial is fit on at most, the first by a hash of doc_id.
-TARGET_DOCS = 20_000
 #: Documents that score less go.
 THRESHOLD = -0.15
 #: Pseudo-count of a bucket in the target, in units of the corpus's share of the bucket.
@@ -70,18 +70,17 @@ def _buckets(h: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.coalesce("text", F.lit("")).alias("text"))
     words = text.select("doc_id", *columns, words_of(F.col("text")).alias("words"))
     return words.select("doc_id", *columns, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> Column:
+def ratios(docs: DataFrame, labels: DataFrame) -> Column:
     """log p_target - log p_corpus of every bucket in millionths, as an array literal of BUCKETS numbers."""
-    target = (
-        labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("target_id")).filter("target_id is not null")
-        .distinct().orderBy(F.xxhash64("target_id"), "target_id").limit(target_docs)
-    )
-    seen = _hashed(docs).join(F.broadcast(target), F.col("doc_id") == F.col("target_id"), "left")  # at most target_docs ids
+    target = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("target_id")).filter("target_id is not null").distinct()
+    target = stage(target, "target")
+    target = F.broadcast(target) if target.count() <= BROADCAST_ROWS else target
+    seen = _hashed(docs.select("doc_id", "text").join(target, F.col("doc_id").cast("long") == F.col("target_id"), "left"), "target_id")
     counts = (
         seen.select(F.col("target_id").isNotNull().cast("bigint").alias("t"), F.explode(_buckets(F.col("h"))).alias("b"))
         .groupBy("b").agg(F.count("*").alias("c"), F.sum("t").alias("t"))
@@ -122,17 +121,17 @@ def _scored(docs: DataFrame, ratio: Column, threshold: float) -> DataFrame:
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, score."""
-    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios(docs, labels, target_docs), threshold)
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios(docs, labels), threshold)
     return scored.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    scored = _scored(docs, ratios(docs, labels, target_docs), threshold)
-    # a condition on a column that isn't deterministic stays above the projection that makes it; pushed below,
+    scored = _scored(docs, ratios(docs, labels), threshold)
+    # the verdict goes through a generator: a condition on what a generator makes can't be pushed below it, where
     # every expression in it would be written out again wherever it is used, inside lambdas even
-    numbered = scored.select("row", "kept", F.monotonically_increasing_id().alias("place"))
-    return numbered.filter("kept and place >= 0").select("row.*")
+    judged = scored.select(F.explode(F.array(F.struct("row", "kept"))).alias("judged"))
+    return judged.filter("judged.kept").select("judged.row.*")
