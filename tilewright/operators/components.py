@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select("a", "b").union(now.select("b", "a"))
         low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
-        large = stage(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = stage(both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = stage(small, "edges")
         before, state = state, _state(now)
         if before == state:
