@@ -19,7 +19,7 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a b
    time, then by sending those documents that aren't linked to its largest component to all its parts.
 
 Shingles are 64-bit hashes, and sets of them are what is compared.  Within an input partition documents with the
-same set are kept once, as the smallest doc_id among them; the others follow it.  Documents without words have
+same set are kept once, the others follow the one kept; a component goes by its smallest doc_id.  Documents without words have
 an empty set and link with nothing.  Rows with a null doc_id keep their size, get a null component and link
 with nothing; rows that share a doc_id are one document.  Every input row gives a result row; extra columns are ignored; an empty table stays empty.
 """
@@ -30,6 +30,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -422,18 +423,17 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
         for _, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
             yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(raw, rule).run()], ("a", "b"))
 
-    groups, links, inner = parts, links, found.filter("kind = 0").filter(F.col("block").isin(split)).select("a", "b")
-    size = 1
-    while groups > 1:  # GROUP parts at a time, then GROUP of those at a time
-        labelled = with_components(inner).withColumn("group", F.floor(F.col("part") / size))
-        heads = labelled.groupBy("block", "group", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
-        heads = heads.groupBy("block", "group").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "doc_id")), asc=False), 1, PIVOTS).alias("top"))  # components of one group
-        heads = heads.select("block", F.xxhash64("block", F.floor(F.col("group") / GROUP)).alias("meeting"), F.explode("top.doc_id").alias("doc_id"))
-        tried = own.join(heads, ["block", "doc_id"]).select(F.col("meeting").alias("block"), "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(tidy(pivots), "a long, b long")
-        tried = stage(tried, "pivots")
-        links, inner = links.union(tried), inner.union(tried)
-        groups, size = -(-groups // GROUP), size * GROUP
-    links = stage(links, "links")
+    # GROUP parts at a time, then GROUP of those at a time, and so on: all of these meetings at once
+    labelled = stage(with_components(found.filter("kind = 0").filter(F.col("block").isin(split)).select("a", "b")), "labelled")
+    heads, size = [], 1
+    while size < parts:
+        least = labelled.withColumn("group", F.floor(F.col("part") / size)).groupBy("block", "group", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
+        top = least.groupBy("block", "group").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "doc_id")), asc=False), 1, PIVOTS).alias("top"))  # components of one group
+        size *= GROUP
+        heads.append(top.select("block", F.xxhash64("block", F.lit(size), F.floor(F.col("group") / GROUP)).alias("meeting"), F.explode("top.doc_id").alias("doc_id")))
+    heads = reduce(DataFrame.union, heads)
+    tried = own.join(heads, ["block", "doc_id"]).select(F.col("meeting").alias("block"), "n", "doc_id", "tokens").repartition(parts, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(tidy(pivots), "a long, b long")
+    links = stage(links.union(tried), "links")
 
     inside = [F.col("b.block") == F.col("a.block")]
     second = stage(with_components(links), "labelled")
@@ -458,30 +458,24 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     return links.union(met)
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """(rep, node): for each document that stands for the others of its partition, the smallest of them."""
-    return stage(rows.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("node")), "nodes")
-
-
 def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes that rows of one doc_id follow."""
-    pairs = rows.join(nodes, "rep").select("doc_id", "node").distinct()
-    several = pairs.groupBy("doc_id").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1").select("doc_id", "low")
-    return pairs.join(several, "doc_id").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    """Edges (a, b) between the documents that stand for others and the smallest of those, and between all that
+    rows of one doc_id follow."""
+    pairs = rows.filter("rep is not null").select("doc_id", "rep").distinct()
+    several = pairs.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("c")).filter("c > 1").select("doc_id", "low")
+    return nodes.filter("rep <> low").select("rep", "low").union(pairs.join(several, "doc_id").filter("rep <> low").select("rep", "low")).toDF("a", "b")
 
 
 def jaccard_join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _prefixes(docs, rule)
-    nodes = _named(rows)
-    # from here on a document that stands for others goes by the smallest doc_id of them
-    prefixes = stage(rows.filter("tokens is not null").join(nodes, "rep").select(F.col("node").alias("doc_id"), "n", "tokens"), "prefixes")
-    blocks = components(_neighbours(prefixes, rule))
+    nodes = rows.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("low"))
+    blocks = components(_neighbours(rows, rule))
     sets = _candidate_sets(docs, blocks, rule)
     linked = components(_links(sets, rule).union(_same_document(rows, nodes)))
-    found = nodes.join(linked, "node", "left").select("rep", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = nodes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "low").alias("component_id"))
+    return rows.select("doc_id", "n", "rep").join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_similar(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
