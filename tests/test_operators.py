@@ -77,6 +77,7 @@ def test_enumerated_values(spark):
     rows = spark.createDataFrame([(1, "3;4;5", "10"), (2, "3;4;5", "10;12"), (3, "7;x", ""), (4, "x;7", None), (5, None, "1;2")], "id long, levels string, height string")
     got = sorted((r.id, r.pos, r.levels, r.height) for r in enumerated(rows, "levels", "height").collect())
     assert got[:6] == [(1, 0, 3.0, 10.0), (1, 1, 4.0, 10.0), (1, 2, 5.0, 10.0), (2, 0, 3.0, 10.0), (2, 1, 4.0, 12.0), (2, 2, 5.0, None)]
+    assert [g for g in got if g[0] == 3] == [(3, 0, None, None)]
     assert [g for g in got if g[0] == 4] == [(4, 0, None, None)]
     assert [g for g in got if g[0] == 5] == [(5, 0, None, 1.0), (5, 1, None, 2.0)]
 

@@ -64,16 +64,30 @@ def decode(code: Column) -> tuple[Column, Column]:
     return lx, ly
 
 
-def length_for(extent: Column) -> Column:
-    """Code length whose tiles are smaller than an extent in degrees, from 10 on: one more digit while the
-    tile is at least as large as the extent's share of 2.5; null beyond 15."""
-    size = extent / 2.5
+def length_for(width: Column, height: Column) -> Column:
+    """Code length for an extent in degrees, from 10 on: one more digit while the tile is wider or higher than
+    the extent's share of 2.5; null beyond 15."""
     out = F.lit(None).cast("int")
     for n in range(15, 9, -1):
-        out = F.when(F.lit(STEPS[n][0] / LON_UNITS) < size, n).otherwise(out)
+        dx, dy = STEPS[n]
+        out = F.when((F.lit(dx / LON_UNITS) <= width / 2.5) & (F.lit(dy / LAT_UNITS) <= height / 2.5), n).otherwise(out)
     return out
 
 
+def claim(west: Column, south: Column, east: Column, north: Column, length: int = 11) -> Column:
+    """Places (x, y) in units, one in each tile strictly between the tiles of a box's corners: whole steps from
+    the south-west corner, which keep its offset within its tile."""
+    dx, dy = STEPS[length]
+    steps = lambda a, b, d: F.when(F.floor(b / d) - F.floor(a / d) > 1, F.sequence(F.lit(1).cast("long"), F.floor(b / d) - F.floor(a / d) - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(steps(west, east, dx), lambda i: F.transform(steps(south, north, dy), lambda j: F.struct((west + i * dx).alias("x"), (south + j * dy).alias("y")))))
+
+
+def south_west(lx: Column, ly: Column, length: int = 11) -> dict[str, Column]:
+    """Longitude and latitude of the lower left corner of the tile that units lie in."""
+    at = bounds(lx, ly, length)
+    return {"lon": at["west"], "lat": at["south"]}
+
+
 def tiles(west: Column, south: Column, east: Column, north: Column, length: int) -> Column:
     """Candidate tiles of a box in units: indices right of the west and south edge's own tile, up to the east
     and north edge's."""

@@ -73,3 +73,9 @@ def poly_points(text: Column) -> Column:
     numbers = lambda r: F.regexp_extract_all(r, F.lit(r"(?m)^\s+([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*$"), F.lit(1))
     point = lambda s: F.struct(F.get(F.split(s, r"\s+"), 0).try_cast("double").alias("x"), F.get(F.split(s, r"\s+"), 1).try_cast("double").alias("y"))
     return F.filter(F.transform(rings, lambda r: F.transform(numbers(r), point)), lambda r: F.size(r) > 0)
+
+
+def listed(value: Column) -> Column:
+    """The numbers of a semicolon list; null if any of them is no number."""
+    numbers = F.transform(F.split(value, ";"), lambda x: F.trim(x).try_cast("double"))
+    return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)

@@ -126,8 +126,8 @@ class Compare:
 
     def bottom(self, frame: DataFrame, value: str, share: float = 0.05) -> DataFrame:
         """The rows of lowest value, ``share`` of all; ties by ubid."""
-        n = frame.filter(F.col(value).isNotNull()).count()
-        return frame.filter(F.col(value).isNotNull()).orderBy(value, "ubid").limit(int(n * share))
+        known = frame.filter(F.col(value).isNotNull())
+        return ordinals(known, value, "ubid").filter(F.col("ordinal") < int(known.count() * share)).drop("ordinal")
 
     def median_error(self, of: str, other: str, value: str = "height_m") -> DataFrame:
         return self.difference_percent(of, other, value).agg(F.median("difference").alias("median_error"))
@@ -140,15 +140,21 @@ def cyclic_rank(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.join(ordinals(keys, key), key, "left").withColumn("hue", F.col("ordinal") % n)
 
 
+def running(rows: DataFrame, value: Column, groups: Sequence[str], by: Sequence[str], name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``value`` over those before them, by ``by`` within ``groups``.  No task sees all:
+    sums within range partitions, plus those of the group's partitions before, which are joined to them."""
+    from tilewright.sources.scratch import fresh, stage
+
+    start = fresh("start", rows.withColumn(name, value))
+    parts = stage(rows.withColumn(name, value).repartitionByRange(*groups, *by).withColumn("part", F.spark_partition_id()), "running")
+    earlier = W.partitionBy(*groups).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.groupBy(*groups, "part").agg(F.sum(name).alias("sum"))
+    starts = starts.select(*groups, "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias(start))  # a row for each partition of a group
+    within = W.partitionBy(*groups, "part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    summed = parts.withColumn(name, F.coalesce(F.sum(name).over(within), F.lit(0)))
+    return summed.join(starts, [*groups, "part"]).withColumn(name, F.col(start) + F.col(name)).drop("part", start)
+
+
 def ordinals(keys: DataFrame, *by: str) -> DataFrame:
-    """``keys`` with column ordinal, their place in order from 0 on, without one task that sees all: ranks
-    within range partitions plus the sizes of the partitions before, one number for each."""
-    from tilewright.sources.scratch import stage
-
-    parts = stage(keys.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ordinals")
-    before, at = {}, 0
-    for r in parts.groupBy("part").count().orderBy("part").collect():
-        before[r.part], at = at, at + r["count"]
-    start = F.coalesce(*[F.when(F.col("part") == p, F.lit(n)) for p, n in before.items()]) if before else F.lit(0)
-    rank = F.row_number().over(W.partitionBy("part").orderBy(*by)) - 1
-    return parts.withColumn("ordinal", (start + rank).cast("long")).drop("part")
+    """``keys`` with column ordinal, their place in order from 0 on."""
+    return running(keys, F.lit(1).cast("long"), (), by, "ordinal")

@@ -12,6 +12,8 @@ from tilewright.functions import geo, olc, slippy, text
 from tilewright.functions.boxes import Box
 from tilewright.operators import aggregate, compare, components, footprint, raster, street, tiles
 
+from tilewright.sources.scratch import stage
+
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,25 +143,21 @@ def lenient_date(spark, sf_dir):
 
 def enumerated(rows: DataFrame, *columns: str) -> DataFrame:
     """One row for each value of the longest of the semicolon lists; a single value repeats, a shorter list
-    ends in nulls.  A list whose first value is no number is null and gives no rows of its own."""
-    part = lambda c, i: F.trim(F.get(F.split(c, ";"), i)).try_cast("double")
-    size = lambda c: F.when(part(c, F.lit(0)).isNull(), 1).otherwise(F.size(F.split(c, ";")))
-    value = lambda c: F.when(size(c) == 1, part(c, F.lit(0))).otherwise(part(c, F.col("pos")))
-    most = F.greatest(*[F.coalesce(size(F.col(c)), F.lit(1)) for c in columns], F.lit(1))
-    spread = rows.select("id", *columns, F.explode(F.sequence(F.lit(0), most - 1)).alias("pos"))
-    return spread.select("id", F.col("pos").cast("long").alias("pos"), *[value(F.col(c)).alias(c) for c in columns])
+    ends in nulls.  A list with anything in it that is no number is null and gives no rows of its own."""
+    lists = rows.select("id", *[text.listed(F.col(c)).alias(c) for c in columns])
+    most = F.greatest(*[F.coalesce(F.size(c), F.lit(1)) for c in columns], F.lit(1))
+    spread = lists.select("id", *columns, F.explode(F.sequence(F.lit(0), most - 1)).alias("pos"))
+    value = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0))).otherwise(F.get(c, F.col("pos")))
+    return spread.select("id", F.col("pos").cast("long").alias("pos"), *[value(c).alias(c) for c in columns])
 
 
-LISTS = """
-select id, string_split(levels,';') l, string_split(height,';') h from elem"""
-SIZED = """
-select id, l, h, case when try_cast(trim(l[1]) as double) is null then 1 else len(l) end nl, case when try_cast(trim(h[1]) as double) is null then 1 else len(h) end nh from lists"""
+LISTS = "select id, list_transform(string_split(levels,';'), lambda x: try_cast(trim(x) as double)) l, list_transform(string_split(height,';'), lambda x: try_cast(trim(x) as double)) h from elem"
+SIZED = "select id, case when len(l)=len(list_filter(l, lambda x: x is not null)) then l end l, case when len(h)=len(list_filter(h, lambda x: x is not null)) then h end h from lists"
 
 
 @query(
-    """select id, cast(pos as bigint) pos, case when nl=1 then try_cast(trim(l[1]) as double) else try_cast(trim(l[pos+1]) as double) end levels,
-  case when nh=1 then try_cast(trim(h[1]) as double) else try_cast(trim(h[pos+1]) as double) end height
-from (select *, unnest(range(greatest(nl,nh,1))) pos from sized)""",
+    """select id, cast(pos as bigint) pos, case when len(l)=1 then l[1] else l[pos+1] end levels, case when len(h)=1 then h[1] else h[pos+1] end height
+from (select *, unnest(range(greatest(coalesce(len(l),1),coalesce(len(h),1)))) pos from sized)""",
     "elem", lists=LISTS, sized=SIZED,
 )
 def enumerative_explode(spark, sf_dir):
@@ -207,14 +205,17 @@ def olc_bounds(spark, sf_dir):
     return rows.select("name", "id", lx.alias("lx"), ly.alias("ly")).select("name", "id", *[F.round(v, 9).alias(k) for k, v in olc.bounds(F.col("lx"), F.col("ly"), 11).items()])
 
 
+LENGTHS = " ".join(f"when {dx}/cast(8192000 as double)<=x and {dy}/cast(25000000 as double)<=y then {n}" for n, (dx, dy) in olc.STEPS.items())
+
+
 @query(
-    """select name, id, cast(case when 1024/cast(8192000 as double)<s then 10 when 256/cast(8192000 as double)<s then 11 when 64/cast(8192000 as double)<s then 12
-  when 16/cast(8192000 as double)<s then 13 when 4/cast(8192000 as double)<s then 14 when 1/cast(8192000 as double)<s then 15 end as integer) length
-from (select name, id, ((xmax-xmin)/cast(100000 as double))/cast(2.5 as double) s from bld)""",
+    f"""select name, id, cast(case {LENGTHS} end as integer) length
+from (select name, id, ((xmax-xmin)/cast(100000 as double))/cast(2.5 as double) x, ((ymax-ymin)/cast(100000 as double))/cast(2.5 as double) y from bld)""",
     "bld",
 )
 def olc_length(spark, sf_dir):
-    return view(spark, sf_dir, "bld").select("name", "id", olc.length_for((F.col("xmax") - F.col("xmin")) / tiles.UNIT).alias("length"))
+    rows = view(spark, sf_dir, "bld")
+    return rows.select("name", "id", olc.length_for((F.col("xmax") - F.col("xmin")) / tiles.UNIT, (F.col("ymax") - F.col("ymin")) / tiles.UNIT).alias("length"))
 
 
 BOXED = """select name, id, cast(floor((cast(-88 as double)+xmin/cast(100000 as double)+180)*8192000) as bigint) w, cast(floor((cast(41 as double)+ymin/cast(100000 as double)+90)*25000000) as bigint) s,
@@ -227,10 +228,20 @@ def inner_sql(length: int, source: str = "boxed") -> str:
  where i*{dx}>=w and (i+1)*{dx}<=e and j*{dy}>=s and (j+1)*{dy}<=n"""
 
 
-@query("select name, id, cast((e//1024-w//1024)*(n//3125-s//3125) as bigint) claimed from boxed", "bld", boxed=BOXED)
+CLAIM = "select name, id, w+a*1024 x, s+b*3125 y from (select *, unnest(range(1, n//3125-s//3125)) b from (select *, unnest(range(1, e//1024-w//1024)) a from boxed))"
+
+
+@query(CLAIM, "bld", boxed=BOXED)
 def olc_claim(spark, sf_dir):
     rows = tiles.units(view(spark, sf_dir, "bld"))
-    return rows.select("name", "id", F.size(olc.tiles(F.col("w"), F.col("s"), F.col("e"), F.col("n"), 10)).cast("long").alias("claimed"))
+    return rows.select("name", "id", F.explode(olc.claim(F.col("w"), F.col("s"), F.col("e"), F.col("n"), 10)).alias("t")).select("name", "id", "t.x", "t.y")
+
+
+@query("select name, id, round((lx//1024*1024)/cast(8192000 as double)-180,9) lon, round((ly//3125*3125)/cast(25000000 as double)-90,9) lat from units", "bld", centres=CENTRES, units=UNITS)
+def olc_corner(spark, sf_dir):
+    """Lower left corner of the tile of ten digits around each centre."""
+    at = centres(spark, sf_dir).select("name", "id", olc.lon_units(F.col("lon")).alias("lx"), olc.lat_units(F.col("lat")).alias("ly"))
+    return at.select("name", "id", *[F.round(v, 9).alias(k) for k, v in olc.south_west(F.col("lx"), F.col("ly"), 10).items()])
 
 
 @query(inner_sql(10), "bld", boxed=BOXED)
@@ -259,19 +270,27 @@ def tile_offsets(spark, sf_dir):
     return tiles.tile_offsets(tiled(spark, sf_dir)).withColumn("start", F.col("start").cast("long"))
 
 
+TILE = ("length", "i", "j")
+
+
+def keys_of_tiles(spark, sf_dir) -> DataFrame:
+    """The tessellation by numbers, made once for all sides of a match."""
+    return stage(tiles.tile_keys(view(spark, sf_dir, "bld")), "tiles")
+
+
 MATCHED = "select min(l.id) left_id, r.id right_id from tiles l join tiles r on l.tile=r.tile where l.name='osm' and r.name='{}' group by r.id having count(distinct l.id)=1"
 
 
 @query("select left_id, right_id from m", "bld", **TILED, m=MATCHED.format("msbf"))
 def tmatch(spark, sf_dir):
-    t = tiled(spark, sf_dir)
-    return tiles.tmatch(t.filter("name='osm'"), t.filter("name='msbf'"))
+    t = keys_of_tiles(spark, sf_dir)
+    return tiles.tmatch(t.filter("name='osm'"), t.filter("name='msbf'"), TILE)
 
 
 @query("select distinct name, id, id left_id from tiles where name='osm' union all select 'msbf', right_id, left_id from m1 union all select 'ocm', right_id, left_id from m2", "bld", **TILED, m1=MATCHED.format("msbf"), m2=MATCHED.format("ocm"))
 def tconcat(spark, sf_dir):
-    t = tiled(spark, sf_dir)
-    return tiles.tconcat(t.filter("name='osm'"), t.filter("name='msbf'"), t.filter("name='ocm'"))
+    t = keys_of_tiles(spark, sf_dir)
+    return tiles.tconcat(t.filter("name='osm'"), t.filter("name='msbf'"), t.filter("name='ocm'"), on=TILE)
 
 
 @query("select name, id, cast(floor((lon+180)/360*131072) as bigint) tw, cast(floor((1-asinh(tan(radians(lat)))/pi())/2*131072) as bigint) tn from centres", "bld", centres=CENTRES)
@@ -346,10 +365,7 @@ def footprint_assign(spark, sf_dir):
     return footprint.assign(rows.filter("name <> 'osm'"), rows.filter("name = 'osm'"))
 
 
-EDGES = "select distinct cast(l_orderkey as bigint) rel, cast(l_partkey as bigint) part from lineitem where l_orderkey%400=0"
-ALL_EDGES = "select distinct cast(l_orderkey as bigint) rel, cast(l_partkey as bigint) part from lineitem"
-LINKED = "select distinct a.part a, b.part b from edges a join edges b on a.rel=b.rel"
-REACHED = "select a, b from linked union select r.a, l.b from reached r join linked l on r.b=l.a"
+EDGES = "select distinct cast(l_orderkey as bigint) rel, cast(l_partkey as bigint) part from lineitem"
 
 
 def named_together(lines: DataFrame) -> DataFrame:
@@ -359,37 +375,19 @@ def named_together(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("a").alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-@query("select a as node, min(b) as component from reached group by a", edges=EDGES, linked=LINKED, reached=REACHED)
-def group_components(spark, sf_dir):
-    """Parts that belong together because relations (orders) name them together."""
-    return named_together(table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
-
-
 @query()
-def group_components_whole(spark, sf_dir):
-    """group_components over all relations."""
+def group_components(spark, sf_dir):
+    """Parts that belong together because relations (orders) name them together; over all relations, for which
+    recursive SQL is too slow: tests hold it against a plain search."""
     return named_together(table(spark, sf_dir, "lineitem"))
 
 
-RELATIONS = "select cast(rel as bigint) component, cast(count(*) as bigint) n from edges left join (select p_partkey, p_size from part where p_size<>7) p on p.p_partkey=part group by rel having bool_and(p_size is not null) or bool_or(coalesce(p_size=1,false))"
-
-
-def complete(spark, sf_dir, lines: DataFrame) -> DataFrame:
-    members = lines.select(F.col("l_orderkey").cast("long").alias("component"), F.col("l_partkey").cast("long").alias("id")).distinct()
-    elements = table(spark, sf_dir, "part").filter("p_size <> 7").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") == 1).alias("multipolygon"))
-    return aggregate.complete_relations(members, elements)
-
-
-@query(RELATIONS, edges=EDGES)
+@query("select cast(rel as bigint) component, cast(count(*) as bigint) n from edges left join (select p_partkey, p_size from part where p_size<>7) p on p.p_partkey=part group by rel having bool_and(p_size is not null) or bool_or(coalesce(p_size=1,false))", edges=EDGES)
 def relation_groups(spark, sf_dir):
     """Relations of which no member is missing, or that have a multipolygon (size 1) among them."""
-    return complete(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0"))
-
-
-@query(RELATIONS, edges=ALL_EDGES)
-def relation_groups_whole(spark, sf_dir):
-    """relation_groups over all relations."""
-    return complete(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("component"), F.col("l_partkey").cast("long").alias("id")).distinct()
+    elements = table(spark, sf_dir, "part").filter("p_size <> 7").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") == 1).alias("multipolygon"))
+    return aggregate.complete_relations(members, elements)
 
 
 @agg_query("select name, ubid, height_m from agg")
@@ -593,7 +591,7 @@ def heading_expand(spark, sf_dir):
 
 CAMS = "select poid, cast(x//256%8 as bigint) tile, cast(y%256 as bigint) r0, cast(x%256 as bigint) c0, heading, radians((450-heading)%360) th from cam"
 SET = """select *, abs(tan(th))>1 steep, case when abs(tan(th))>1 then 1/abs(tan(th)) else abs(tan(th)) end m, case when cos(th)>=0 then 1 else -1 end dx, case when sin(th)>=0 then -1 else 1 end dy from cams"""
-WALK = """select poid, tile, r0, c0, heading, steep, m, dx, dy, 0 k, r0 r, c0 c, cast(0 as double) e from sett where poid<200 union all
+WALK = """select poid, tile, r0, c0, heading, steep, m, dx, dy, 0 k, r0 r, c0 c, cast(0 as double) e from sett union all
  select poid, tile, r0, c0, heading, steep, m, dx, dy, k+1, case when (e>=1)<>steep then r+dy else r end, case when (e>=1)<>steep then c else c+dx end, case when e>=1 then e-1 else e+m end from walk
  where r between 0 and 255 and c between 0 and 255"""
 
@@ -613,18 +611,27 @@ def casted(spark, sf_dir) -> DataFrame:
     return street.raycast(cameras(spark, sf_dir), walls(spark, sf_dir))
 
 
-@query()
+WALLS = "select distinct id%8 tile, (ymin*7+id//97)%256 r, (xmin*3+id//97*5)%256 c from bld where name='osm'"
+HIT = "select w.poid, w.heading, arg_min(w.c-w.c0, w.k) dcol, arg_min(w.r-w.r0, w.k) drow from walk w join walls on w.tile=walls.tile and w.r=walls.r and w.c=walls.c group by w.poid, w.heading"
+SEEN = "select cams.poid, cams.heading, cast(dcol as bigint) dcol, cast(drow as bigint) drow from cams left join hit on hit.poid=cams.poid and hit.heading=cams.heading"
+RAYS = dict(cams=CAMS, sett=SET, walk=WALK, walls=WALLS, hit=HIT, seen=SEEN)
+
+
+@query("select poid, heading, dcol, drow from seen", "bld", "cam", **RAYS)
 def raycast(spark, sf_dir):
     return casted(spark, sf_dir)
 
 
-@query()
+FAR = "select seen.poid, seen.heading, radians(41+y/cast(100000 as double)) p, radians(41+(y-drow/cast(255 as double)*100)/cast(100000 as double)) q, radians((dcol/cast(255 as double)*100)/cast(100000 as double)) dl from seen join cam on seen.poid=cam.poid"
+
+
+@query("select poid, heading, round(2*6371008.8*asin(least(1,sqrt(pow(sin((q-p)/2),2)+cos(p)*cos(q)*pow(sin(dl/2),2)))),4) distance from far", "bld", "cam", **RAYS, far=FAR)
 def wall_distance(spark, sf_dir):
     """Metres from each camera to the wall its ray hits first; a pixel is 1/255 of a tile of 100 units."""
     hit = casted(spark, sf_dir).join(view(spark, sf_dir, "cam").select("poid", "x", "y"), "poid")
     lon, lat = tiles.lon_of(F.col("x")), tiles.lat_of(F.col("y"))
     to_lon, to_lat = tiles.lon_of(F.col("x") + F.col("dcol") / 255 * 100), tiles.lat_of(F.col("y") - F.col("drow") / 255 * 100)
-    return hit.select("poid", "heading", F.round(geo.haversine_m(lon, lat, to_lon, to_lat), 6).alias("distance"))
+    return hit.select("poid", "heading", F.round(geo.haversine_m(lon, lat, to_lon, to_lat), 4).alias("distance"))
 
 
 @query("select poid, round(2*6371008.8*asin(least(1,sqrt(pow(sin(radians(y/cast(100000 as double))/2),2)+cos(radians(cast(41 as double)))*cos(radians(cast(41 as double)+y/cast(100000 as double)))*pow(sin(radians(x/cast(100000 as double))/2),2)))),4) metres from cam", "cam")

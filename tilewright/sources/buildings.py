@@ -58,8 +58,8 @@ class MapEntries(Building):
     timestamp = Declared(lambda: F.try_to_timestamp(F.col("timestamp")))
     address = Declared(lambda: text.osm_address(F.col("tags")["addr:housenumber"], F.col("tags")["addr:street"]))
     start_date = Declared(lambda: text.lenient_date(F.col("tags")["start_date"]))
-    floors = Declared(lambda: F.split(F.col("tags")["building:levels"], ";")[0].try_cast("double"))
-    height_m = Declared(lambda: F.split(F.col("tags")["height"], ";")[0].try_cast("double"))
+    floors = Declared(lambda: text.listed(F.col("tags")["building:levels"])[0])
+    height_m = Declared(lambda: text.listed(F.col("tags")["height"])[0])
 
     @staticmethod
     def wanted(elements: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -89,11 +90,23 @@ def parse_lines(lines: DataFrame, schema: str, skip: str = "E") -> DataFrame:
     return good.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a text file with their numbers from 0 on.  A task numbers the lines of one
+    block of the file; the blocks before it, one row each, give the rest."""
+    from tilewright.sources.scratch import stage
+
+    block = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = stage(spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("place"), "value"), "lines")
+    before = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(W.partitionBy("file", "block").orderBy("place")) - 1
+    return lines.withColumn("rank", rank).join(starts, ["file", "block"]).select((F.col("start") + F.col("rank")).alias("line"), "value")
+
+
 def read_csv_pair(spark: SparkSession, inputs: str, metadata: str, schema: str, more: str) -> DataFrame:
     """Two files whose lines belong together by number; error lines of the first are left out of both."""
-    numbered = lambda p: spark.read.text(p, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    good = numbered(inputs).filter(~F.col("value").startswith("E") & (F.col("value") != ""))
-    both = good.join(numbered(metadata).withColumnRenamed("value", "other"), "line")
+    good = numbered_lines(spark, inputs).filter(~F.col("value").startswith("E") & (F.col("value") != ""))
+    both = good.join(numbered_lines(spark, metadata).withColumnRenamed("value", "other"), "line")
     return both.select("line", F.from_csv("value", schema).alias("a"), F.from_csv("other", more).alias("b")).select("line", "a.*", "b.*")
 
 
