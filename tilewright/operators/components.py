@@ -1,38 +1,68 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is a few joins and aggregations; each ends in a written table, so no lineage grows and a lost
+Each task first contracts the edges it has to stars, so that long chains don't cost rounds.  Every round is a few joins and aggregations; each ends in a written table, so no lineage grows and a lost
 executor costs its tasks alone.  The minima are written before they are joined: both sides of a join then come
 straight from a shuffle, and Spark splits a hot node's edges over tasks as it runs (adaptive skew joins).  Null ends and loops are ignored; repeated edges do no harm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.sources.scratch import stage
 
+#: Nodes that a task holds at a time.
+HELD = 1_000_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task as stars around the smallest node of each component among them."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (to := up.setdefault(root, root)) != root:
+            root = to
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in list(up)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        if len(up) > HELD:
+            yield stars()
+    yield stars()
+
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-    return row[0], int(row[1])
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, which has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 or up = 1 and centre = 1").count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): each node that has an edge, with the smallest node it can reach."""
-    now = stage(
-        edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges"
-    )
-    state = _state(now)
-    while state[0]:
+    clean = edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    now = stage(clean.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    while not _is_stars(now):
         both = now.select("a", "b").union(now.select("b", "a"))
         low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         large = stage(both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         now = stage(small, "edges")
-        before, state = state, _state(now)
-        if before == state:
-            break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b").distinct())
