@@ -396,14 +396,15 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     """Exact links (a, b) that connect what is linked, within blocks."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shape = "kind long, block long, part long, a long, b long"
-    names = ("kind", "block", "part", "a", "b")
+    shape = "kind long, block long, part long, a long, b long, c long"
+    names = ("kind", "block", "part", "a", "b", "c")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for block, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
-            links = SignatureForest(raw, rule).run()
-            yield _edges([(0, block, part, ids[i], ids[j]) for i, j in links] + [(1, block, part, i, len(x)) for i, x in zip(ids, raw)], names)
+            forest = SignatureForest(raw, rule)
+            links = forest.run()
+            yield _edges([(0, block, part, ids[i], ids[j], 0) for i, j in links] + [(1, block, part, i, len(x), ids[forest.joined.find(k)]) for k, (i, x) in enumerate(zip(ids, raw))], names)
 
     by = ("block", "n", "doc_id")
     found = stage(sets.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(tidy(local), shape), "links")
@@ -424,7 +425,7 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
             yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(raw, rule).run()], ("a", "b"))
 
     # GROUP parts at a time, then GROUP of those at a time, and so on: all of these meetings at once
-    labelled = stage(with_components(found.filter("kind = 0").filter(F.col("block").isin(split)).select("a", "b")), "labelled")
+    labelled = found.filter("kind = 1").filter(F.col("block").isin(split)).select("block", "part", F.col("a").alias("doc_id"), F.col("c").alias("component"))
     heads, size = [], 1
     while size < parts:
         least = labelled.withColumn("group", F.floor(F.col("part") / size)).groupBy("block", "group", "component").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
