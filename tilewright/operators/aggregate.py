@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-
 FLOOR_M = 3.6
 
 
@@ -27,20 +27,17 @@ def carried(column: str, height: Column, floors: Column, order: Column) -> Colum
     )[column]
 
 
-def merged(rows: DataFrame, key: str = "ubid") -> DataFrame:
-    """One row per (name, key): envelope, poisoned height and floors."""
+def merged(rows: DataFrame, key: str = "ubid", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per (name, key): envelope, poisoned height and floors, and the columns to carry as the row of
+    greatest height has them, else that of most floors, else null."""
     height = imputed_height(F.col("height_m"), F.col("floors"))
+    more = [carried(c, F.col("height_m"), F.col("floors"), F.col("id")).alias("cardinal" if c == "id" else c) for c in carry]
     return rows.groupBy("name", key).agg(
         F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
-        poisoned_max(height).alias("height_m"), poisoned_max(F.col("floors")).alias("floors"), F.count("*").alias("n"),
+        poisoned_max(height).alias("height_m"), poisoned_max(F.col("floors")).alias("floors"), F.count("*").alias("n"), *more,
     )
 
 
-def group_components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, component), see components."""
-    return components(edges)
-
-
 def links_by(rows: DataFrame, *keys: str) -> DataFrame:
     """Edges (a, b) of ids of a source's rows that share a non-null value of any of the keys: each row is
     linked to the smallest id of its value, which connects what all pairs would."""

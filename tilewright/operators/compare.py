@@ -119,6 +119,10 @@ class Compare:
         both = self._values(of, other, value).withColumn("difference", percent_error(F.col(f"a_{value}"), F.col(f"b_{value}")))
         return both.filter(F.col("difference") > least).select("ubid", "difference", F.col(f"a_{value}").alias("left_value"), F.col(f"b_{value}").alias("right_value")).orderBy(F.desc("difference"), "ubid")
 
+    def report(self, of: str, other: str, value: str = "height_m", least: float = 0.2, *columns: str) -> DataFrame:
+        """The discrepancies with further columns of the first source's aggregate rows, such as the cardinal id."""
+        return self.discrepancies(of, other, value, least).join(self.of(of).select("ubid", *columns), "ubid")
+
     def identities(self, name: str = "osm") -> DataFrame:
         """Identity -> the sorted ids of a source's rows, joined by commas."""
         rows = self.data.filter(F.col("name") == name)

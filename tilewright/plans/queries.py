@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geo, olc, slippy, text
 from tilewright.functions.boxes import Box
-from tilewright.operators import aggregate, compare, components, footprint, raster, street, tiles
+from tilewright.operators import aggregate, compare, components, footprint, raster, select, street, tiles
 
 from tilewright.sources.scratch import stage
 
@@ -537,6 +537,64 @@ def around_mismatches(rows: DataFrame) -> DataFrame:
     return pairs.select("id", "near_id", Box.of("a_").distance2(Box.of("b_")).cast("double").alias("d2")).distinct()
 
 
+# selection, nearest rows, exports
+
+
+@query("select name, bool_or(xmin<=20000 and xmax>=15000 and ymin<=40 and ymax>=0) meets from bld group by name", "bld")
+def box_in_source(spark, sf_dir):
+    """Whether a source has anything in a box."""
+    return select.meets_by(view(spark, sf_dir, "bld"), Box.literal(15000, 0, 20000, 40), "name")
+
+
+@query("select name, min(xmin) xmin, min(ymin) ymin, max(xmax) xmax, max(ymax) ymax, max(height_m) height_m from bld group by name", "bld")
+def total_bounds(spark, sf_dir):
+    return select.total_bounds(view(spark, sf_dir, "bld"), "name")
+
+
+@query("select name, id from bld where xmin<=30000 and ymax>=50", "bld")
+def coordinate_slice(spark, sf_dir):
+    return select.slice_of(view(spark, sf_dir, "bld"), (None, 30000), (50, None)).select("name", "id")
+
+
+@agg_query("select name, ubid from agg where ubid in (select ubid from (select ubid, row_number() over (order by ubid)-1 p from (select distinct ubid from agg)) where p>=100 and p<160)")
+def positions(spark, sf_dir):
+    """Aggregate rows of the identities at some positions."""
+    return select.at_positions(compared(spark, sf_dir).aggregate, "ubid", 100, 160).select("name", "ubid")
+
+
+NEAR_A = "select name, id, x, y, floor(x/60)+dx gx, gy from (select *, floor(y/60)+dy gy, unnest([-1,0,1]) dx from (select *, unnest([-1,0,1]) dy from (select name, id, (xmin+xmax)/cast(2 as double) x, (ymin+ymax)/cast(2 as double) y from bld where name='msbf')))"
+NEAR_B = "select id near_id, u, v, floor(u/60) gx, floor(v/60) gy from (select id, (xmin+xmax)/cast(2 as double) u, (ymin+ymax)/cast(2 as double) v from bld where name='osm')"
+
+
+@query(
+    """select name, id, near_id, cast(r as bigint) as "rank" from (select name, id, near_id, row_number() over (partition by name, id order by d2, near_id) r
+  from (select a.name, a.id, b.near_id, (x-u)*(x-u)+(y-v)*(y-v) d2 from na a join nb b on a.gx=b.gx and a.gy=b.gy) where d2<=3600) where r<=3""",
+    "bld", na=NEAR_A, nb=NEAR_B,
+)
+def nearest_rows(spark, sf_dir):
+    """The three nearest osm centres of each msbf row, within 60 units."""
+    rows = view(spark, sf_dir, "bld")
+    return select.nearest(rows.filter("name = 'msbf'"), rows.filter("name = 'osm'"), 3, 60)
+
+
+@agg_query("select ubid, max(case when name='msbf' then n end) msbf, max(case when name='ocm' then n end) ocm, max(case when name='osm' then n end) osm from agg group by ubid")
+def wide_export(spark, sf_dir):
+    """Identity by source: how many rows each has."""
+    return select.wide(compared(spark, sf_dir).aggregate, "ubid", ["msbf", "ocm", "osm"], F.col("n"))
+
+
+CARRIED = """select name, ubid, id cardinal, ts from (select *, row_number() over (partition by name, ubid order by case when height_m is null then 1 else 0 end, height_m desc, floors desc nulls last, id) r from data)
+where r=1 and (height_m is not null or floors is not null) union all
+select name, ubid, null, null from data group by name, ubid having count(height_m)=0 and count(floors)=0"""
+
+
+@query("select name, ubid, cardinal, cast(ts as date) ts from carry", "bld", data=DATA, carry=CARRIED)
+def aggregate_carry(spark, sf_dir):
+    """The aggregate stage with the id and time of the row that its height comes from."""
+    rows = aggregate.merged(keyed(spark, sf_dir), carry=("id", "ts"))
+    return rows.select("name", "ubid", "cardinal", F.col("ts").cast("date").alias("ts"))
+
+
 # rasters and streets
 
 STRIPS = "select *, unnest(range(ymin//4, (ymax-1)//4+1)) gy from bld where height_m is not null and name='osm'"
