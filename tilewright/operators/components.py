@@ -1,8 +1,14 @@
-"""Connected components of an edge table, by alternating large and small stars.
+"""Connected components of an edge table, by contraction within tasks and pointer jumping between them.
 
-Each task first contracts the edges it has to stars, so that long chains don't cost rounds.  Every round is a few joins and aggregations; each ends in a written table, so no lineage grows and a lost
-executor costs its tasks alone.  The minima are written before they are joined: both sides of a join then come
-straight from a shuffle, and Spark splits a hot node's edges over tasks as it runs (adaptive skew joins).  Null ends and loops are ignored; repeated edges do no harm.
+Every edge points from its larger node to its smaller one.  A task contracts the edges it has to stars; with all
+edges of a node in one task, that node gets one edge there, its own.  Each round then lets an edge's smaller end
+take that end's own edge, and contracts anew.  It is one join, one shuffle by the larger node and one written
+table, so no lineage grows and a lost executor costs its tasks alone; chains shorten by half with each round.
+
+A node is the larger end of at most one edge for each task that wrote the table, so no node is hot in the shuffle.
+In the join a component's centre can be; its own edge is one row, both sides come straight from a shuffle, and
+Spark splits the other side's rows over tasks as it runs (adaptive skew joins).  The plan is the same at every
+size.  Null ends and loops are ignored; repeated edges do no harm.
 """
 
 from __future__ import annotations
@@ -17,11 +23,16 @@ from tilewright.sources.scratch import stage
 
 #: Nodes that a task holds at a time.
 HELD = 1_000_000
+EDGES = "a long, b long, own boolean, busy boolean"
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a task as stars around the smallest node of each component among them."""
+    """Edges (a, b, moved), a > b, a node's edges one after the other -> stars around the smallest node of each
+    component among them: (a, b, own, busy).  ``own``: a was the larger end of an edge, which no other task's a
+    was.  ``busy``: not all was settled, as an edge had moved or a node had edges to several."""
     up: dict[int, int] = {}
+    owners: set[int] = set()
+    busy, last = False, (None, None)
 
     def find(x: int) -> int:
         root = x
@@ -34,35 +45,38 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def stars() -> pa.RecordBatch:
         pairs = [(x, find(x)) for x in list(up)]
         pairs = [p for p in pairs if p[0] != p[1]]
+        own = [x in owners for x, _ in pairs]
         up.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        owners.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(own, pa.bool_()), pa.array([busy] * len(pairs), pa.bool_())], ["a", "b", "own", "busy"])
 
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        if len(up) > HELD:
-            yield stars()
+        for a, b, moved in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "moved"))):
+            if a != last[0] and len(up) > HELD:
+                yield stars()
+                busy = False
+            busy = busy or moved or a == last[0] and b != last[1]
+            last = a, b
+            owners.add(a)
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
     yield stars()
 
 
-def _is_stars(edges: DataFrame) -> bool:
-    """Whether each node has one edge to a smaller one, which has none."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 or up = 1 and centre = 1").count() == 0
+def _met(edges: DataFrame) -> DataFrame:
+    """Contracted edges, with all edges of a larger node in one task."""
+    return stage(edges.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_contracted, EDGES), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): each node that has an edge, with the smallest node it can reach."""
-    clean = edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    now = stage(clean.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
-    while not _is_stars(now):
-        both = now.select("a", "b").union(now.select("b", "a"))
-        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
-        large = stage(both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stage(small, "edges")
+    ends = edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    down = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved"))
+    now = _met(down.mapInArrow(_contracted, EDGES).select("a", "b", F.lit(True).alias("moved")))
+    while now.agg(F.bool_or("busy")).head()[0]:
+        own = now.filter("own").select(F.col("a").alias("node"), F.col("b").alias("to"))
+        # an edge that is no node's own has given no pointer yet
+        now = _met(now.join(own.hint("merge"), F.col("b") == F.col("node"), "left").select("a", F.coalesce("to", "b").alias("b"), (F.col("to").isNotNull() | ~F.col("own")).alias("moved")))
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b").distinct())
