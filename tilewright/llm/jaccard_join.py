@@ -416,10 +416,6 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     rows = found.filter("kind = 1").filter(F.col("block").isin(split)).select("block", "part", F.col("a").alias("doc_id"), F.col("b").alias("n")).distinct()
     own = sets.filter(F.col("block").isin(split)).select("block", "doc_id", "n", "tokens")
 
-    def with_components(edges: DataFrame) -> DataFrame:
-        labels = components(edges).select(F.col("node").alias("doc_id"), "component")
-        return rows.join(labels, "doc_id", "left").select("block", "part", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-
     def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, raw) in _runs(batches, "block", ("doc_id", "tokens")):
             yield _edges([(ids[i], ids[j]) for i, j in SignatureForest(raw, rule).run()], ("a", "b"))
@@ -437,7 +433,8 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
     links = stage(links.union(tried), "links")
 
     inside = [F.col("b.block") == F.col("a.block")]
-    second = stage(with_components(links), "labelled")
+    labels = components(links).select(F.col("node").alias("doc_id"), "component")
+    second = stage(rows.join(labels, "doc_id", "left").select("block", "part", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "labelled")
     largest = second.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     places = second.groupBy("block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     places = places.groupBy("block").agg(F.collect_list(F.struct("part", "low", "high")).alias("places"))  # parts of a block
@@ -456,7 +453,8 @@ def _links(sets: DataFrame, rule: Similarity) -> DataFrame:
 
     meeting = hosts.union(visits).join(own, ["block", "doc_id"]).withColumn("place", F.xxhash64("block", "part"))
     met = meeting.select("place", "n", "doc_id", "tokens", "component", "visits").repartition(parts, "place").sortWithinPartitions("place", "n", "doc_id").mapInArrow(tidy(meet), "a long, b long")
-    return links.union(met)
+    # the components stand for the links they were made of
+    return labels.toDF("a", "b").union(met)
 
 
 def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
