@@ -1,5 +1,8 @@
 """Operators on small frames: edges, ties, nulls, empty tables."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -236,3 +239,29 @@ def test_no_nested_loops_in_spatial_joins(spark):
     for frame in (footprint.parents(rows), footprint.assign(rows.filter("name <> 'osm'"), rows.filter("name = 'osm'"))):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_contraction_with_full_buffers(monkeypatch):
+    rng = random.Random(5)
+    edges = sorted({(max(p), min(p)) for p in ((rng.randrange(400), rng.randrange(400)) for _ in range(500)) if p[0] != p[1]})
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b, "moved": False} for a, b in edges[k : k + 33]]) for k in range(0, len(edges), 33)]
+
+    def reached(pairs):
+        up = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+        return {x: find(x) for x in up}
+
+    for held in (1_000_000, 20):
+        monkeypatch.setattr(components, "HELD", held)
+        out = [r for batch in components._contracted(iter(batches)) for r in batch.to_pylist()]
+        assert all(r["a"] > r["b"] for r in out) and any(r["busy"] for r in out)
+        assert sorted(r["a"] for r in out if r["own"]) == sorted({a for a, _ in edges})
+        assert reached((r["a"], r["b"]) for r in out) == reached(edges)
